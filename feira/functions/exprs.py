@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(38,2)"
@@ -36,6 +37,18 @@ def ratio(part: Column | str, whole: Column | str) -> Column:
     return col(part).cast("double") / F.when(whole != 0, whole)
 
 
+def rounded_ratio(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
+    """``part / whole`` to ``digits`` places as decimal, halves away from zero; NULL where ``whole`` is zero.
+
+    Whole-number division on decimals, so that no half is lost in a binary fraction.
+    """
+    part = col(part)
+    whole = F.when(col(whole) != 0, col(whole))
+    size = F.call_function("div", F.abs(part) * (2 * 10**digits) + F.abs(whole), F.abs(whole) * 2)
+    signed = F.when((part < 0) == (whole < 0), size).otherwise(-size)
+    return (signed.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(38,{digits})")
+
+
 def money(c: Column | str) -> Column:
     return col(c).cast(MONEY)
 
@@ -56,9 +69,10 @@ def fmt_brl(c: Column | str) -> Column:
     return F.concat(sign, _swap_separators(fmt_number(F.abs(c), 2)))
 
 
-def fmt_pct(share: Column | str, digits: int = 2) -> Column:
-    """A share as ``12,34%``."""
-    return F.concat(_swap_separators(fmt_number(col(share) * 100, digits)), F.lit("%"))
+def fmt_pct(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
+    """``part / whole`` as ``12,34%``."""
+    percent = rounded_ratio(col(part) * 100, whole, digits)
+    return F.concat(_swap_separators(fmt_number(percent, digits)), F.lit("%"))
 
 
 def weekday(c: Column | str) -> Column:
@@ -80,7 +94,7 @@ def per_year(year: Column | str, years: Iterable[int], value: Column, prefix: st
     return [F.sum(F.when(year == y, value).otherwise(0)).alias(f"{prefix}_{y}") for y in years]
 
 
-def with_text(df, formats: dict[str, Column]):
+def with_text(df: DataFrame, formats: dict[str, Column]) -> DataFrame:
     """Turn each number ``x`` into its text form ``x`` plus the number as ``x_num``.
 
     Formatting comes last, so texts are never summed or sorted.

@@ -28,10 +28,14 @@ def reviews_per_order(reviews: DataFrame) -> DataFrame:
 
 
 def items_per_order(items: DataFrame, *group: str) -> DataFrame:
-    """One row per order and ``group``: at most as many rows per order as the group has values."""
+    """One row per order and ``group``: at most as many rows per order as the group has values.
+
+    Totals a query does not read are pruned from its plan.
+    """
     gross = F.col("price") + F.col("freight_value")
     return items.groupBy("order_id", *group).agg(
         F.count("*").alias("n_items"),
+        F.count("seller_id").alias("n_sellers"),
         F.count("price").alias("n_prices"),
         F.sum("price").alias("price_sum"),
         F.sum(gross).alias("gross_sum"),

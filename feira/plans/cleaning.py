@@ -85,18 +85,18 @@ def classified_categories(dictionary: DataFrame) -> DataFrame:
     return dictionary.withColumn("main_categories", rules.main_category("category_en"))
 
 
-def category_dictionary(raw: RawTables) -> DataFrame:
+def extended_categories(dictionary: DataFrame) -> DataFrame:
     """The classified dictionary with the categories it lacked."""
     return conform.append_rows(
-        classified_categories(raw.category_translation),
-        rules.EXTRA_CATEGORIES,
-        ["category_pt", "category_en", "main_categories"],
+        classified_categories(dictionary), rules.EXTRA_CATEGORIES, ["category_pt", "category_en", "main_categories"]
     )
 
 
 def clean_products(raw: RawTables) -> DataFrame:
-    one_each = category_dictionary(raw).groupBy(F.col("category_pt").alias("product_category_name")).agg(
-        F.min(F.struct("category_en", "main_categories")).alias("category")
+    one_each = (
+        extended_categories(raw.category_translation)
+        .groupBy(F.col("category_pt").alias("product_category_name"))
+        .agg(F.min(F.struct("category_en", "main_categories")).alias("category"))
     )
     return raw.products.join(one_each, "product_category_name", "left").select(
         *raw.products.columns, "category.category_en", "category.main_categories"

@@ -47,33 +47,31 @@ def _scores_by(t: CleanTables, group: Column) -> DataFrame:
             F.sum("score_sum").alias("score_sum"),
             F.sum("n_scores").alias("n_scores"),
         )
-        .withColumns(
-            {
-                "five_star_pct": X.ratio(F.col("n_five") * 100, "total_orders"),
-                "avg_review_score": X.ratio("score_sum", "n_scores"),
-            }
-        )
     )
 
 
+def _five_stars() -> list[Column]:
+    part = F.col("n_five") * 100
+    text = X.fmt_number(X.rounded_ratio(part, "total_orders", 0))
+    return [text.alias("five_star_pct"), X.ratio(part, "total_orders").alias("five_star_pct_num")]
+
+
 def review_by_approval_time(
     t: CleanTables, edges: Sequence[tuple[int, str]] = APPROVAL_BUCKETS, rest: str = APPROVAL_REST
 ) -> DataFrame:
     hours = X.hours_between("order_purchase_timestamp", "order_approved_at")
-    scores = _scores_by(t, bucket(hours, edges, rest).alias("approval_time_bucket")).select(
-        "approval_time_bucket", "five_star_pct", "total_orders", F.round("avg_review_score", 2).alias("avg_review_score")
-    )
-    return X.with_text(scores, {"five_star_pct": X.fmt_number("five_star_pct")})
+    scores = _scores_by(t, bucket(hours, edges, rest).alias("approval_time_bucket"))
+    score = X.rounded_ratio("score_sum", "n_scores").alias("avg_review_score")
+    return scores.select("approval_time_bucket", *_five_stars(), "total_orders", score)
 
 
 def review_by_delivery_time(
     t: CleanTables, edges: Sequence[tuple[int, str]] = DELIVERY_BUCKETS, rest: str = DELIVERY_REST
 ) -> DataFrame:
     hours = X.hours_between("order_delivered_carrier_date", "order_delivered_customer_date")
-    scores = _scores_by(t, bucket(hours, edges, rest).alias("delivery_time_bucket")).select(
-        "delivery_time_bucket", "total_orders", "avg_review_score", "five_star_pct"
-    )
-    return X.with_text(scores, {"five_star_pct": X.fmt_number("five_star_pct")})
+    scores = _scores_by(t, bucket(hours, edges, rest).alias("delivery_time_bucket"))
+    score = X.ratio("score_sum", "n_scores").alias("avg_review_score")
+    return scores.select("delivery_time_bucket", "total_orders", score, *_five_stars())
 
 
 def _sentiment(t: CleanTables) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feira.operators.conform import literal_rows
+from feira.operators.rules import CATEGORY_CLASSES
 from feira.schema import CATEGORY_TRANSLATION
 from feira.tables import RawTables
 
@@ -24,6 +25,11 @@ CATEGORY_NAMES = [
     ("PERF", "perfumery"),
 ]
 
+ENGLISH_NAMES = [name for _, names, _ in CATEGORY_CLASSES for name in names] + [
+    "auto", "stationery", "garden_tools", "market_place", "art", "books_technical", "books_imported",
+    "books_general_interest", "health & beauty", "FASHION_X", "Toys", None,
+]
+
 # Misspelt (city, state) pairs handed to every third seller in turn.
 DIRTY_CITIES = [
     ("sao paulo", "SP"),
@@ -221,6 +227,27 @@ def review_translation(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def category_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part with one of the English category names in turn: known, other, oddly cased and missing."""
+    labels = F.array(*[F.lit(v).cast("string") for v in ENGLISH_NAMES])
+    return _read(spark, folder, "part").select(
+        F.col("p_partkey").alias("part_key"),
+        F.get(labels, (F.col("p_partkey") % len(ENGLISH_NAMES)).cast("int")).alias("category_en"),
+    )
+
+
+def category_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """The dictionary of the categories that products really use."""
+    used = products(spark, folder).select(F.col("product_category_name").alias("category_pt")).distinct()
+    return used.join(literal_rows(spark, CATEGORY_NAMES, CATEGORY_TRANSLATION), "category_pt")
+
+
+def with_empty_rows(df: DataFrame, where: str) -> DataFrame:
+    """``df`` plus a row of NULLs for every row that meets the condition."""
+    copies = df.withColumn("copy", F.explode(F.when(F.expr(where), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return copies.select(*[F.when(F.col("copy") == 0, F.col(c)).alias(c) for c in df.columns])
+
+
 def sample_tables(spark: SparkSession, folder: str) -> RawTables:
     return RawTables(
         orders=orders(spark, folder),
