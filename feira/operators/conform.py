@@ -52,7 +52,8 @@ def to_seconds(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def to_money(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 2).cast("decimal(18,2)") for c in columns})
+    """Two decimals, halves away from zero; the cast itself rounds."""
+    return df.withColumns({c: F.col(c).cast("decimal(18,2)") for c in columns})
 
 
 def recode(column: str, old: str, new: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feira.session import write_and_read
 
+LABEL_DIGITS = 5
 ROW_BITS = 33  # monotonically_increasing_id keeps the row's place within its partition in the low bits
 
 
@@ -42,7 +43,8 @@ def dense_numbers(ids: DataFrame, column: str, number: str = "rn") -> DataFrame:
 
 def surrogate_label(prefix: str, number: str = "rn"):
     """``A00007``; wider numbers keep all their digits, so labels never collide."""
-    return F.format_string(f"{prefix}%05d", F.col(number))
+    digits = F.col(number).cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(LABEL_DIGITS)), F.lit("0")))
 
 
 def build_mapping(column: str, prefix: str, *frames: DataFrame) -> DataFrame:

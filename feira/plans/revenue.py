@@ -39,17 +39,17 @@ def _money_per_year(years: Sequence[int], value: Column, prefix: str = "Revenue"
 def item_payment_detail(t: CleanTables) -> DataFrame:
     """Every item with every payment of its order, in order of the order key.
 
+    Labels are looked up before the join multiplies the rows; the order's label rides on the same shuffle.
     The further sort columns let the range shuffle split an order with very many rows.
     """
     items = t.items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
+    items = enrich(items, t.product_keys, "product_id", "product_id_values")
+    items = enrich(items, t.seller_keys, "seller_id", "seller_id_values")
     payments = t.payments.select(
         "order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"
     )
-    rows = items.join(payments, "order_id")
-    rows = enrich(rows, t.order_keys, "order_id", "order_id_values")
-    rows = enrich(rows, t.product_keys, "product_id", "product_id_values")
-    rows = enrich(rows, t.seller_keys, "seller_id", "seller_id_values")
-    return rows.select(
+    payments = enrich(payments, t.order_keys, "order_id", "order_id_values")
+    return items.join(payments, "order_id").select(
         "order_id_values", "order_item_id", "product_id_values", "seller_id_values", "payment_sequential",
         "payment_type", "payment_installments", "payment_value", "price", "freight_value",
     ).orderBy("order_id_values", "order_item_id", "payment_sequential", "product_id_values")
@@ -279,8 +279,8 @@ def net_revenue_per_product(t: CleanTables, years: Sequence[int] = YEARS) -> Dat
 
 def low_reviews_by_product(t: CleanTables, threshold: int = 3) -> DataFrame:
     reviews = t.english_reviews.where(F.col("review_score") < threshold).select("order_id", "review_english")
+    reviews = enrich(reviews, t.order_keys, "order_id", "order_id_values")
     rows = t.items.select("order_id", "product_id").join(reviews, "order_id")
-    rows = enrich(rows, t.order_keys, "order_id", "order_id_values")
     rows = enrich(rows, t.product_keys, "product_id", "product_id_values")
     return rows.select("order_id_values", "product_id_values", "review_english")
 

@@ -200,26 +200,24 @@ def order_view(t: CleanTables) -> DataFrame:
         )
     )
     reviews = t.reviews.groupBy("order_id", "review_score").agg(F.count("*").alias("n_reviews"))
+    # Labels go on the one-row-per-id sides, so that the long side is shuffled by order and by seller only.
     orders = t.orders.select("order_id", "customer_id", "order_status", F.year(PURCHASE).alias("year"))
-    rows = (
+    orders = enrich(orders, t.customer_keys, "customer_id", "customer_id_values")
+    orders = enrich(orders, t.order_keys, "order_id", "order_id_values")
+    sellers = enrich(t.sellers, t.seller_keys, "seller_id", "seller_id_values")
+    return (
         lines.join(reviews, "order_id")
         .join(orders, "order_id")
-        .join(t.sellers.select("seller_id", "seller_city", "seller_state"), "seller_id")
+        .join(sellers, "seller_id")
         .select(
-            "order_id",
+            "order_id_values",
             (F.col("n_products") * F.col("n_reviews")).alias("products_ordered"),
             X.money(F.col("gross") * F.col("n_reviews")).alias("Revenue"),
-            "seller_id", "seller_city", "seller_state", "review_score", "year", "order_status", "customer_id",
+            "seller_id_values", "seller_city", "seller_state", "review_score", "year", "order_status",
+            "customer_id_values",
         )
         .distinct()
     )
-    rows = enrich(rows, t.order_keys, "order_id", "order_id_values")
-    rows = enrich(rows, t.seller_keys, "seller_id", "seller_id_values")
-    rows = enrich(rows, t.customer_keys, "customer_id", "customer_id_values")
-    return rows.select(
-        "order_id_values", "products_ordered", "Revenue", "seller_id_values", "seller_city", "seller_state",
-        "review_score", "year", "order_status", "customer_id_values",
-    )
 
 
 def register_all(t: CleanTables, years: Sequence[int] = YEARS) -> None:

@@ -59,6 +59,12 @@ DIRTY_CITIES = [
 ]
 
 
+def _padded(number: str, width: int) -> str:
+    """Zero-padded to at least ``width`` digits, longer numbers unharmed."""
+    text = f"CAST({number} AS STRING)"
+    return f"lpad({text}, greatest(length({text}), {width}), '0')"
+
+
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -70,7 +76,7 @@ def _order_base(spark: SparkSession, folder: str) -> DataFrame:
             "o_orderkey AS k",
             "o_custkey AS ck",
             "o_totalprice AS total",
-            "format_string('%010d', o_orderkey) AS order_id",
+            f"{_padded('o_orderkey', 10)} AS order_id",
             "o_orderdate + INTERVAL '1' SECOND * ((o_orderkey * 7919) % 86400)"
             " + INTERVAL '0.250' SECOND AS order_purchase_timestamp",
         )
@@ -125,17 +131,17 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     return _order_base(spark, folder).selectExpr(
         "'c' || order_id AS customer_id",
         "CASE WHEN ck % 10 < 6 THEN 'u' || order_id"
-        " WHEN ck % 10 < 8 THEN format_string('y%08d-%d', ck, year(order_purchase_timestamp))"
-        " ELSE format_string('p%08d', ck) END AS customer_unique_id",
+        f" WHEN ck % 10 < 8 THEN 'y' || {_padded('ck', 8)} || '-' || year(order_purchase_timestamp)"
+        f" ELSE 'p' || {_padded('ck', 8)} END AS customer_unique_id",
     )
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "lineitem").selectExpr(
-        "format_string('%010d', l_orderkey) AS order_id",
+        f"{_padded('l_orderkey', 10)} AS order_id",
         "explode(IF(l_orderkey % 50 = 0, array(l_linenumber, l_linenumber + 100), array(l_linenumber))) AS order_item_id",
-        "format_string('%08d-%d', l_partkey, l_suppkey % 10) AS product_id",
-        "format_string('%06d', l_suppkey) AS seller_id",
+        f"{_padded('l_partkey', 8)} || '-' || l_suppkey % 10 AS product_id",
+        f"{_padded('l_suppkey', 6)} AS seller_id",
         "l_shipdate + INTERVAL '1' HOUR * l_linenumber AS shipping_limit_date",
         "l_extendedprice AS price",
         "l_quantity AS freight_value",
@@ -184,7 +190,7 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
 def products(spark: SparkSession, folder: str) -> DataFrame:
     variants = _read(spark, folder, "part").selectExpr("*", "explode(sequence(0, 9)) AS variant")
     return variants.selectExpr(
-        "format_string('%08d-%d', p_partkey, variant) AS product_id",
+        f"{_padded('p_partkey', 8)} || '-' || variant AS product_id",
         "CASE WHEN p_partkey % 9 = 0 THEN 'AUTO' WHEN p_partkey % 11 = 0 THEN 'PERF' ELSE p_type END"
         " AS product_category_name",
     )
@@ -199,7 +205,7 @@ def sellers(spark: SparkSession, folder: str) -> DataFrame:
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .withColumn("dirty", pick)
         .selectExpr(
-            "format_string('%06d', s_suppkey) AS seller_id",
+            f"{_padded('s_suppkey', 6)} AS seller_id",
             "CASE WHEN s_suppkey % 3 = 0 THEN dirty.city WHEN s_suppkey % 7 = 0 THEN lower(n_name) || ' - xx'"
             " ELSE lower(n_name) END AS seller_city",
             "CASE WHEN s_suppkey % 3 = 0 THEN dirty.state ELSE r_name END AS seller_state",
@@ -210,7 +216,7 @@ def sellers(spark: SparkSession, folder: str) -> DataFrame:
 def geolocation(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = (_read(spark, folder, n) for n in ("nation", "region"))
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).selectExpr(
-        "format_string('%05d', n_nationkey) AS geolocation_zip_code_prefix",
+        f"{_padded('n_nationkey', 5)} AS geolocation_zip_code_prefix",
         "lower(n_name) AS geolocation_city",
         "r_name AS geolocation_state",
     )
