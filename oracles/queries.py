@@ -212,7 +212,6 @@ def orders():
 
 def reviews():
     scores = "count(*) AS n, count(*) FILTER (review_score = 5) AS five, sum(review_score) AS score"
-    five = f"{pct('five', 'n', 0, '')}"
     five = f"CAST({half_up('five', 'n', 100)} AS VARCHAR) AS five_star_pct, CAST(five * 100 AS DOUBLE) / n AS five_star_pct_num"
     stages = """cut AS (SELECT * FROM c_orders WHERE order_status = 'canceled'),
         s AS (SELECT 'orders_cancelled_after_delivery' AS measures_name, count(*) AS measures_value FROM cut

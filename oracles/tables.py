@@ -37,7 +37,7 @@ c_customers AS (
               ELSE printf('p%08d', ck) END AS customer_unique_id
   FROM base),
 line AS (
-  SELECT l_orderkey, printf('%010d', l_orderkey) AS order_id, l_linenumber AS order_item_id,
+  SELECT l_orderkey, printf('%010d', l_orderkey) AS order_id, CAST(l_linenumber AS BIGINT) AS order_item_id,
          printf('%08d-%d', l_partkey, l_suppkey % 10) AS product_id, printf('%06d', l_suppkey) AS seller_id,
          l_shipdate + INTERVAL 1 HOUR * l_linenumber AS ship_limit, l_extendedprice AS price, l_quantity AS freight
   FROM lineitem),
@@ -47,7 +47,7 @@ raw_items AS (
   SELECT order_id, order_item_id + 100, product_id, seller_id, ship_limit, price, freight
   FROM line WHERE l_orderkey % 50 = 0),
 raw_payments AS (
-  SELECT order_id, 1 AS payment_sequential,
+  SELECT order_id, CAST(1 AS BIGINT) AS payment_sequential,
          CASE WHEN k % 10 < 7 THEN 'credit_card' WHEN k % 10 < 9 THEN 'boleto' ELSE 'debit_card' END AS payment_type,
          k % 12 + 1 AS payment_installments, total AS payment_value
   FROM base WHERE k % 97 <> 0
