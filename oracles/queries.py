@@ -382,11 +382,12 @@ def revenue():
             JOIN c_orders USING (order_id) GROUP BY 1)""",
         ),
         "seller_revenue_allocated": q(
-            f"SELECT seller_id, CAST(sum({half_up('paid * gross', 'whole', 10000)}) AS DOUBLE) / 1000000 AS allocated_revenue FROM s GROUP BY 1",
+            f"SELECT seller_id, {rounded('sum(micros)', '1000000')} AS allocated_revenue FROM parts GROUP BY 1",
             f"""p AS (SELECT order_id, {cents('sum(payment_value)')} AS paid FROM c_payments GROUP BY 1),
             l AS (SELECT order_id, seller_id, {cents('sum(price + freight)')} AS gross FROM c_items GROUP BY 1, 2),
             s AS (SELECT seller_id, CAST(paid AS HUGEINT) AS paid, gross, sum(gross) OVER (PARTITION BY order_id) AS whole
-                  FROM l JOIN p USING (order_id))""",
+                  FROM l JOIN p USING (order_id)),
+            parts AS (SELECT seller_id, {half_up('paid * gross', 'whole', 10000)} AS micros FROM s)""",
         ),
     }
 

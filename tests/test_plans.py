@@ -6,6 +6,9 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from feira.operators import keys
+from feira.plans import reviews
+from feira.tables import save_clean
 
 
 @contextlib.contextmanager
@@ -63,9 +66,6 @@ def test_review_texts_are_not_read_unless_asked_for(spark, folder):
 
 
 def test_filters_and_columns_reach_the_files(spark, sample, tmp_path):
-    from feira.plans import reviews
-    from feira.tables import save_clean
-
     saved = save_clean(sample, str(tmp_path))
     text = plan(reviews.cancellation_stages(saved))
     assert "EqualTo(order_status,canceled)" in text
@@ -78,5 +78,15 @@ def test_both_inputs_of_the_text_lookup_are_plain_shuffles(spark, folder):
     """So that run-time skew handling can split a message shared by very many reviews."""
     with no_broadcast(spark):
         text = plan(entry.queries()["review_translated"](spark, folder))
-    sides = re.findall(r"Sort \[__digest.*\n.*?(\w+)", text)
+    sides = re.findall(r"Sort \[__digest#\d+ ASC NULLS FIRST\], false.*\n\W*(\w+)", text)
     assert sides == ["Exchange", "Exchange"], text
+
+
+def test_numbering_sums_partition_sizes_only(spark, sample):
+    """The one-task window and the broadcast hold one row per partition, never the ids."""
+    ids = sample.orders.select("order_id")
+    text = plan(keys.dense_numbers(ids, "order_id"))
+    (gathered,) = re.findall(r"Exchange SinglePartition.*\n\W*(.*)", text)
+    assert gathered.startswith("HashAggregate(keys=[part")
+    (broadcast,) = re.findall(r"BroadcastExchange.*\n\W*(.*)", text)
+    assert broadcast.startswith("Project [part")
