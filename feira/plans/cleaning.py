@@ -180,7 +180,7 @@ def audit_duplicate_categories(dictionary: DataFrame) -> DataFrame:
 
 def audit_multi_seller_orders(t: CleanTables, more_than: int = 1) -> DataFrame:
     found = (
-        t.typed_items.groupBy("order_id")
+        t.items_or_repeats.groupBy("order_id")
         .agg(F.count_distinct("seller_id").alias("seller_count"))
         .where(F.col("seller_count") > more_than)
     )

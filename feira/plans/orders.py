@@ -117,8 +117,7 @@ def orders_by_month(t: CleanTables, years: Sequence[int] = YEARS) -> DataFrame:
 
 
 def distinct_item_orders(t: CleanTables) -> DataFrame:
-    # Duplicate items do not change a distinct count, so they need not be removed first.
-    return t.typed_items.agg(F.count_distinct("order_id").alias("total_orders"))
+    return t.items_or_repeats.agg(F.count_distinct("order_id").alias("total_orders"))
 
 
 def orders_per_status(t: CleanTables) -> DataFrame:

@@ -104,7 +104,7 @@ def audit_unmapped_products(t: CleanTables, years: Sequence[int] = YEARS) -> Dat
 def _seller_years(t: CleanTables) -> DataFrame:
     """Products, orders and revenue per seller and year, equal items of an order counted once."""
     # Equal but for the shipping date counts as equal here, which covers what removing duplicates does.
-    lines = t.typed_items.select("seller_id", "order_id", "product_id", "price", "freight_value").distinct()
+    lines = t.items_or_repeats.select("seller_id", "order_id", "product_id", "price", "freight_value").distinct()
     per_order = lines.groupBy("order_id", "seller_id").agg(
         F.count("product_id").alias("n_products"),
         F.count("*").alias("n_orders"),
