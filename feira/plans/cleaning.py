@@ -63,8 +63,8 @@ def clean_reviews(raw: RawTables) -> DataFrame:
     return conform.to_dates(raw.reviews, "review_creation_date", "review_answer_timestamp")
 
 
-def translated_reviews(raw: RawTables) -> DataFrame:
-    return conform.translate_text(clean_reviews(raw), raw.review_translation, "review_comment_message", "review_english")
+def translated(reviews: DataFrame, lookup: DataFrame) -> DataFrame:
+    return conform.translate_text(reviews, lookup, "review_comment_message", "review_english")
 
 
 def clean_orders(raw: RawTables) -> DataFrame:

@@ -90,12 +90,12 @@ def complaint_categories(t: CleanTables, status: str = "canceled") -> DataFrame:
     """Reviews of cancelled orders that ask for a refund or an invoice, per payment type."""
     text = F.lower("review_english")
     flags = [text.rlike(p).alias(f"is_{name}") for name, p in COMPLAINTS.items()]
-    reviews = t.english_reviews.select("order_id", "review_id", *flags)
+    reviews = _cancelled(t, status).join(t.reviews.select("order_id", "review_comment_message"), "order_id")
     pays = t.payments.select("order_id", "payment_type").distinct()
     return (
-        _cancelled(t, status)
+        t.translate(reviews)
+        .select("order_id", *flags)
         .join(pays, "order_id")
-        .join(reviews, "order_id")
         .groupBy("payment_type")
         .agg(*[X.count_if(F.col(f"is_{name}")).alias(f"{name}_complaints") for name in COMPLAINTS])
     )

@@ -39,8 +39,9 @@ def _money_per_year(years: Sequence[int], value: Column, prefix: str = "Revenue"
 def item_payment_detail(t: CleanTables) -> DataFrame:
     """Every item with every payment of its order, in order of the order key.
 
-    Labels are looked up before the join multiplies the rows; the order's label rides on the same shuffle.
-    The further sort columns let the range shuffle split an order with very many rows.
+    Product and seller labels are looked up before the join multiplies the rows. Items meet payments as two
+    plain shuffles, so that an order with very many items can be split at run time; the order's label comes
+    after, on the partitioning of that join. The further sort columns let the range shuffle split it, too.
     """
     items = t.items.select("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value")
     items = enrich(items, t.product_keys, "product_id", "product_id_values")
@@ -48,8 +49,8 @@ def item_payment_detail(t: CleanTables) -> DataFrame:
     payments = t.payments.select(
         "order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"
     )
-    payments = enrich(payments, t.order_keys, "order_id", "order_id_values")
-    return items.join(payments, "order_id").select(
+    rows = enrich(items.join(payments, "order_id"), t.order_keys, "order_id", "order_id_values")
+    return rows.select(
         "order_id_values", "order_item_id", "product_id_values", "seller_id_values", "payment_sequential",
         "payment_type", "payment_installments", "payment_value", "price", "freight_value",
     ).orderBy("order_id_values", "order_item_id", "payment_sequential", "product_id_values")
@@ -162,11 +163,9 @@ def installments_by_type(t: CleanTables) -> DataFrame:
 def cancelled_by_payment(t: CleanTables, status: str = "canceled", payment_type: str = "credit_card") -> DataFrame:
     orders = t.orders.where(F.col("order_status") == status).select("order_id", "order_status")
     payments = t.payments.where(F.col("payment_type") == payment_type).select("order_id", "payment_type")
-    return (
-        orders.join(payments, "order_id")
-        .join(t.english_reviews.select("order_id", "review_english"), "order_id")
-        .select("payment_type", "order_status", "review_english")
-    )
+    reviews = t.reviews.select("order_id", "review_comment_message")
+    rows = orders.join(payments, "order_id").join(reviews, "order_id")
+    return t.translate(rows).select("payment_type", "order_status", "review_english")
 
 
 def seller_payment_sums(t: CleanTables, years: Sequence[int] = YEARS) -> DataFrame:
@@ -279,8 +278,8 @@ def net_revenue_per_product(t: CleanTables, years: Sequence[int] = YEARS) -> Dat
 
 def low_reviews_by_product(t: CleanTables, threshold: int = 3) -> DataFrame:
     reviews = t.english_reviews.where(F.col("review_score") < threshold).select("order_id", "review_english")
-    reviews = enrich(reviews, t.order_keys, "order_id", "order_id_values")
     rows = t.items.select("order_id", "product_id").join(reviews, "order_id")
+    rows = enrich(rows, t.order_keys, "order_id", "order_id_values")
     rows = enrich(rows, t.product_keys, "product_id", "product_id_values")
     return rows.select("order_id_values", "product_id_values", "review_english")
 

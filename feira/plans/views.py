@@ -200,15 +200,14 @@ def order_view(t: CleanTables) -> DataFrame:
         )
     )
     reviews = t.reviews.groupBy("order_id", "review_score").agg(F.count("*").alias("n_reviews"))
-    # Labels go on the one-row-per-id sides, so that the long side is shuffled by order and by seller only.
+    # Customer and seller labels go on the one-row-per-id sides, so that the long side is shuffled by order and
+    # by seller only. Every join by order has a plain shuffle on its right, which run-time splitting needs.
     orders = t.orders.select("order_id", "customer_id", "order_status", F.year(PURCHASE).alias("year"))
     orders = enrich(orders, t.customer_keys, "customer_id", "customer_id_values")
-    orders = enrich(orders, t.order_keys, "order_id", "order_id_values")
     sellers = enrich(t.sellers, t.seller_keys, "seller_id", "seller_id_values")
+    rows = enrich(lines.join(reviews, "order_id").join(orders, "order_id"), t.order_keys, "order_id", "order_id_values")
     return (
-        lines.join(reviews, "order_id")
-        .join(orders, "order_id")
-        .join(sellers, "seller_id")
+        rows.join(sellers, "seller_id")
         .select(
             "order_id_values",
             (F.col("n_products") * F.col("n_reviews")).alias("products_ordered"),
@@ -220,13 +219,21 @@ def order_view(t: CleanTables) -> DataFrame:
     )
 
 
+def all_views(t: CleanTables, years: Sequence[int] = YEARS) -> dict[str, DataFrame]:
+    return {
+        "product_view": product_view(t, years),
+        "seller_view": seller_view(t, years),
+        "seller_view_clean": seller_view_clean(t, years),
+        "order_view": order_view(t),
+    }
+
+
 def register_all(t: CleanTables, years: Sequence[int] = YEARS) -> None:
     """Make the views available to SQL under their names."""
-    register_views(
-        {
-            "product_view": product_view(t, years),
-            "seller_view": seller_view(t, years),
-            "seller_view_clean": seller_view_clean(t, years),
-            "order_view": order_view(t),
-        }
-    )
+    register_views(all_views(t, years))
+
+
+def export_all(t: CleanTables, folder: str, years: Sequence[int] = YEARS, fmt: str = "parquet") -> None:
+    """Write every view to ``folder/<name>`` for dashboards."""
+    for name, df in all_views(t, years).items():
+        df.write.mode("overwrite").option("header", True).format(fmt).save(f"{folder}/{name}")

@@ -69,7 +69,11 @@ class CleanTables:
     @cached_property
     def english_reviews(self) -> DataFrame:
         """Reviews with ``review_english``."""
-        return cleaning.translated_reviews(self.raw)
+        return self.translate(self.reviews)
+
+    def translate(self, df: DataFrame) -> DataFrame:
+        """Add ``review_english``; best on rows that are already filtered, as it shuffles by text."""
+        return cleaning.translated(df, self.raw.review_translation)
 
     @cached_property
     def products(self) -> DataFrame:
@@ -104,21 +108,27 @@ class CleanTables:
         return cleaning.map_review_ids(self.raw)
 
 
-TABLE_NAMES = ("orders", "typed_items", "items", "payments", "reviews", "english_reviews", "products", "sellers", "customers")
+TABLE_NAMES = ("orders", "items", "payments", "reviews", "products", "sellers", "customers")
 KEY_NAMES = ("order_keys", "product_keys", "seller_keys", "customer_keys", "review_keys")
+STORED = (*TABLE_NAMES, "english_reviews", *KEY_NAMES)
 
 
 class SavedTables:
     """The same tables read back from a folder written by ``save_clean``."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        for name in TABLE_NAMES + KEY_NAMES:
+        for name in STORED:
             setattr(self, name, spark.read.parquet(f"{folder}/{name}"))
-        self.items_or_repeats = self.items
+        self.typed_items = self.items_or_repeats = self.items
+        self.review_translation = spark.read.parquet(f"{folder}/review_translation")
+
+    def translate(self, df: DataFrame) -> DataFrame:
+        return cleaning.translated(df, self.review_translation)
 
 
 def save_clean(t: CleanTables, folder: str) -> SavedTables:
     """Write all clean tables and key mappings once; every later query starts from plain scans."""
-    for name in TABLE_NAMES + KEY_NAMES:
+    for name in STORED:
         getattr(t, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    t.raw.review_translation.write.mode("overwrite").parquet(f"{folder}/review_translation")
     return SavedTables(t.orders.sparkSession, folder)

@@ -246,3 +246,10 @@ def test_top_sellers(spark):
 def test_views_are_visible_to_sql(spark, sample):
     views.register_all(sample, (1996, 1997, 1998))
     assert spark.sql("SELECT count(*) FROM seller_view_clean").first()[0] == sample.seller_keys.count()
+
+
+def test_views_export_as_csv(spark, sample, tmp_path):
+    views.export_all(sample, str(tmp_path), (1996, 1997, 1998), "csv")
+    back = spark.read.csv(f"{tmp_path}/seller_view_clean", header=True)
+    assert back.columns == views.seller_view_clean(sample, (1996, 1997, 1998)).columns
+    assert back.count() == sample.seller_keys.count()
