@@ -153,19 +153,24 @@ def main_category(category_en: Column | str) -> Column:
     return result.otherwise(OTHER_CATEGORY)
 
 
-def _rule_struct(rule: CityRule) -> Column:
-    def text(value):
-        return F.lit(value).cast("string")
+def _literal(value: str | None) -> str:
+    return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("'", "\\'") + "'"
 
-    arms = [
-        F.struct(
-            F.lit(m.how).alias("how"),
-            F.lit(m.text.lower()).alias("text"),
-            text(m.state and m.state.lower()).alias("state"),
-        )
-        for m in rule.any_of
-    ]
-    return F.struct(F.array(*arms).alias("arms"), text(rule.city).alias("city"), text(rule.state).alias("state"))
+
+def _rule_list(rules: list[CityRule]) -> Column:
+    """The rules as one constant array, parsed from text in a single call."""
+
+    def lower(value):
+        return _literal(value and value.lower())
+
+    def arm(m: Match) -> str:
+        return f"named_struct('how', '{m.how}', 'text', {lower(m.text)}, 'state', {lower(m.state)})"
+
+    def struct(r: CityRule) -> str:
+        arms = ", ".join(arm(m) for m in r.any_of)
+        return f"named_struct('arms', array({arms}), 'city', {_literal(r.city)}, 'state', {_literal(r.state)})"
+
+    return F.expr(f"array({', '.join(struct(r) for r in rules)})")
 
 
 def _arm_holds(place: Column, arm: Column) -> Column:
@@ -195,7 +200,7 @@ def fold_city_rules(city: str, state: str, rules: list[CityRule] = CITY_RULES) -
     Works row by row, so it needs no shuffle, and a city with very many sellers is no hot key.
     """
     start = F.struct(F.col(city).alias("city"), F.col(state).alias("state"))
-    return F.aggregate(F.array(*[_rule_struct(r) for r in rules]), start, _apply_rule)
+    return F.aggregate(_rule_list(rules), start, _apply_rule)
 
 
 def clean_cities(sellers: DataFrame) -> DataFrame:
