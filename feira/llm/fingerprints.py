@@ -153,14 +153,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     numbered = ranked(numbered, ["_all"], ["_null", "doc_id", "_hash"]).select("doc_id", "_hash", "n", "_rank")
     numbered = write_and_read(numbered, "numbered")
     count = numbered.count()
-    # To each document goes the rank of the one before it, and how much of its start that one needs.
-    before = numbered.select((F.col("_rank") % count + 1).alias("_rank"), F.col("_rank").alias("_to"), (F.col("n") / 4).cast("long").alias("_need"))
-    wanted = write_and_read(numbered.join(before, "_rank").select("doc_id", "_hash", "_rank", "_to", "_need"), "wanted")
-
-    wanted = wanted.withColumnsRenamed({"doc_id": "_id", "_hash": "_id_hash"})
+    # To each document goes the one before it, and how much of its start that one needs.
+    before = numbered.select(
+        (F.col("_rank") % count + 1).alias("_rank"),
+        F.col("doc_id").alias("_to"),
+        F.col("_hash").alias("_to_hash"),
+        F.col("_rank").alias("_to_rank"),
+        F.floor(F.col("n") / 4).cast("int").alias("_need"),
+    )
+    wanted = numbered.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_id_hash"), "_rank").join(before, "_rank")
+    wanted = write_and_read(wanted.drop("_rank"), "wanted")
     texts = docs.join(wanted, same([F.col("doc_id"), F.col("_hash")], [F.col("_id"), F.col("_id_hash")]))
-    starts = texts.select(F.col("_to").alias("_rank"), F.substring("text", F.lit(1), F.col("_need").cast("int")).alias("_start"))
-    both = texts.select("doc_id", "text", "_rank").join(starts, "_rank")
+    starts = texts.select(
+        "_to", "_to_hash", F.col("_to_rank").alias("_rank"), F.substring("text", F.lit(1), F.col("_need")).alias("_start")
+    )
+    # Joined by id again, so the shuffled texts serve both joins.
+    both = docs.join(starts, same([F.col("doc_id"), F.col("_hash")], [F.col("_to"), F.col("_to_hash")]))
     length = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), length - F.floor(length / 4).cast("int")), F.col("_start"))
     both = both.select("doc_id", "_rank", "text", length.cast("long").alias("n_chars"), edited.alias("edited"))
