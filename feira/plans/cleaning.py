@@ -38,7 +38,7 @@ def map_review_ids(raw: RawTables) -> DataFrame:
 
 # Tables -------------------------------------------------------------------------------------------
 def typed_items(raw: RawTables) -> DataFrame:
-    items = conform.drop_all_null(raw.items, ["order_id", "order_item_id", "product_id"])
+    items = conform.drop_all_null(raw.items, ["order_id", "order_item_id", "product_id", "seller_id"])
     items = conform.to_dates(items, "shipping_limit_date")
     return conform.to_money(items, "price", "freight_value")
 

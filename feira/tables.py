@@ -110,7 +110,7 @@ class CleanTables:
 
 TABLE_NAMES = ("orders", "items", "payments", "reviews", "products", "sellers", "customers")
 KEY_NAMES = ("order_keys", "product_keys", "seller_keys", "customer_keys", "review_keys")
-STORED = (*TABLE_NAMES, "english_reviews", *KEY_NAMES)
+STORED = (*TABLE_NAMES, "typed_items", "english_reviews", *KEY_NAMES)
 
 
 class SavedTables:
@@ -119,7 +119,7 @@ class SavedTables:
     def __init__(self, spark: SparkSession, folder: str):
         for name in STORED:
             setattr(self, name, spark.read.parquet(f"{folder}/{name}"))
-        self.typed_items = self.items_or_repeats = self.items
+        self.items_or_repeats = self.items
         self.review_translation = spark.read.parquet(f"{folder}/review_translation")
 
     def translate(self, df: DataFrame) -> DataFrame:

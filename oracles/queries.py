@@ -83,7 +83,8 @@ def cleaning():
         "drop_all_null_items": q(
             f"""SELECT {item}, seller_id, strftime(ship_limit, '%Y-%m-%d %H:%M:%S') AS shipping_limit_date, price,
             freight AS freight_value FROM holes
-            WHERE order_id IS NOT NULL OR order_item_id IS NOT NULL OR product_id IS NOT NULL""",
+            WHERE order_id IS NOT NULL OR order_item_id IS NOT NULL OR product_id IS NOT NULL
+            OR seller_id IS NOT NULL""",
             """holes AS (SELECT * FROM raw_items UNION ALL
             SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM raw_items WHERE order_item_id > 100)""",
         ),

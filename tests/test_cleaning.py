@@ -121,3 +121,19 @@ def test_saved_tables_give_the_same_results(sample, tmp_path):
     assert rows(revenue.revenue_by_category(saved)) == rows(revenue.revenue_by_category(sample))
     assert saved.orders.dtypes == sample.orders.dtypes
     assert saved.order_keys.count() == sample.orders.select(F.count_distinct("order_id")).first()[0]
+
+
+def test_an_item_row_with_only_a_seller_stays(spark):
+    raw = spark.createDataFrame(
+        [(None, None, None, "s"), (None, None, None, None)],
+        "order_id string, order_item_id int, product_id string, seller_id string",
+    )
+    kept = conform.drop_all_null(raw, ["order_id", "order_item_id", "product_id", "seller_id"])
+    assert [r.seller_id for r in kept.collect()] == ["s"]
+
+
+def test_saved_tables_keep_the_repeats_that_the_audit_reports(sample, tmp_path):
+    saved = save_clean(sample, str(tmp_path))
+    found = cleaning.audit_duplicate_items(sample).count()
+    assert found > 0
+    assert cleaning.audit_duplicate_items(saved).count() == found
