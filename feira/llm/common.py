@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import string
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in ARROW_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    # Python workers look for this package where the driver found it, if it isn't installed for them.
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
 
 
