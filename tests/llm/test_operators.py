@@ -11,7 +11,7 @@ from urllib.parse import quote
 import pytest
 
 from feira.llm import decontaminate, fingerprints, line_dedup, mixing, near_join, quality, secrets, tool_calls, toxicity, url_filter
-from feira.llm.components import components
+from feira.llm.components import components, extended
 from feira.llm.shingles import words
 
 from .conftest import prose
@@ -132,6 +132,15 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(31)}
 
 
+def test_components_are_extended_by_links_of_known_and_new_nodes(spark):
+    names = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, component long")
+    more = spark.createDataFrame([(2, 6), (6, 11), (20, 21), (1, 2)], "a long, b long")
+    want = {1: 1, 2: 1, 5: 1, 6: 1, 11: 1, 8: 8, 9: 8, 20: 20, 21: 20}
+    assert dict(rows_of(extended(names, more), "node", "component")) == want
+    known = dict(rows_of(extended(names, more.limit(0)), "node", "component"))
+    assert known == {1: 1, 2: 1, 5: 5, 6: 5, 8: 8, 9: 8}
+
+
 # -- decontamination -----------------------------------------------------------------------------------
 
 
