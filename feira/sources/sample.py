@@ -65,6 +65,11 @@ def _padded(number: str, width: int) -> str:
     return f"lpad({text}, greatest(length({text}), {width}), '0')"
 
 
+def _moved(every: int) -> str:
+    """The order that order ``k``'s rows are filed under: each ``every``-th order hands them to its neighbour."""
+    return f"CASE WHEN k % {every} <> 0 THEN k WHEN k = 0 THEN 1 ELSE k - 1 END"
+
+
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -149,22 +154,27 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 97th order is unpaid: its payments come after those of its neighbour."""
     return (
         _order_base(spark, folder)
-        .where("k % 97 <> 0")
-        .selectExpr("*", "explode(CASE WHEN k % 8 = 0 THEN array(1, 2) ELSE array(1) END) AS payment_sequential")
         .selectExpr(
-            "order_id",
-            "payment_sequential",
-            "CASE WHEN payment_sequential = 2 THEN 'voucher' WHEN k % 10 < 7 THEN 'credit_card'"
+            "*",
+            f"{_moved(97)} AS payer",
+            "explode(CASE WHEN k % 8 = 0 THEN array(1, 2) ELSE array(1) END) AS own",
+        )
+        .selectExpr(
+            f"{_padded('payer', 10)} AS order_id",
+            "own + CASE WHEN payer = k THEN 0 WHEN payer % 8 = 0 THEN 2 ELSE 1 END AS payment_sequential",
+            "CASE WHEN own = 2 THEN 'voucher' WHEN k % 10 < 7 THEN 'credit_card'"
             " WHEN k % 10 < 9 THEN 'boleto' ELSE 'debit_card' END AS payment_type",
-            "CAST(CASE WHEN payment_sequential = 2 THEN 1 ELSE k % 12 + 1 END AS INT) AS payment_installments",
-            "CASE WHEN payment_sequential = 2 THEN 50D ELSE total END AS payment_value",
+            "CAST(CASE WHEN own = 2 THEN 1 ELSE k % 12 + 1 END AS INT) AS payment_installments",
+            "CASE WHEN own = 2 THEN 50D ELSE total END AS payment_value",
         )
     )
 
 
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """A review with its document's text for every order; that of every 29th order is its neighbour's second one."""
     # One text per document id; grouping tells Spark the id is unique, so that it drops the join
     # from every query that does not read the text.
     texts = _read(spark, folder, "documents").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -173,11 +183,11 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
         base.join(texts, base.k == texts.doc_id, "left")
         .selectExpr(
             "*",
-            "explode(array_compact(array(IF(k % 29 <> 0, 'r', NULL), IF(k % 53 = 0, 's', NULL)))) AS kind",
+            "explode(IF(k % 53 = 0, array('r', 's'), array('r'))) AS kind",
         )
         .selectExpr(
             "kind || order_id AS review_id",
-            "order_id",
+            f"IF(kind = 'r', {_padded(f'({_moved(29)})', 10)}, order_id) AS order_id",
             "CAST(IF(kind = 's', 1, 1 + (k * 13) % 5) AS INT) AS review_score",
             "CAST(NULL AS STRING) AS review_comment_title",
             "IF(kind = 'r', text, NULL) AS review_comment_message",

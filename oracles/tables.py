@@ -46,18 +46,26 @@ raw_items AS (
   UNION ALL
   SELECT order_id, order_item_id + 100, product_id, seller_id, ship_limit, price, freight
   FROM line WHERE l_orderkey % 50 = 0),
+paid AS (
+  SELECT *, CASE WHEN k % 97 = 0 THEN greatest(k - 1, 1 - k) ELSE k END AS payer FROM base),
+settled AS (
+  SELECT *, printf('%010d', payer) AS payer_id,
+         CASE WHEN payer = k THEN 0 WHEN payer % 8 = 0 THEN 2 ELSE 1 END AS ahead
+  FROM paid),
 raw_payments AS (
-  SELECT order_id, CAST(1 AS BIGINT) AS payment_sequential,
+  SELECT payer_id AS order_id, CAST(ahead + 1 AS BIGINT) AS payment_sequential,
          CASE WHEN k % 10 < 7 THEN 'credit_card' WHEN k % 10 < 9 THEN 'boleto' ELSE 'debit_card' END AS payment_type,
          k % 12 + 1 AS payment_installments, total AS payment_value
-  FROM base WHERE k % 97 <> 0
+  FROM settled
   UNION ALL
-  SELECT order_id, 2, 'voucher', 1, 50.0 FROM base WHERE k % 97 <> 0 AND k % 8 = 0),
+  SELECT payer_id, ahead + 2, 'voucher', 1, 50.0 FROM settled WHERE k % 8 = 0),
 texts AS (SELECT doc_id, min(text) AS text FROM documents GROUP BY doc_id),
 raw_reviews AS (
-  SELECT 'r' || order_id AS review_id, order_id, 1 + (k * 13) % 5 AS review_score, text AS review_comment_message,
+  SELECT 'r' || order_id AS review_id,
+         CASE WHEN k % 29 = 0 THEN printf('%010d', greatest(k - 1, 1 - k)) ELSE order_id END AS order_id,
+         1 + (k * 13) % 5 AS review_score, text AS review_comment_message,
          bought + INTERVAL 30 DAY AS created, bought + INTERVAL 1 DAY * (30 + k % 7) AS answered
-  FROM base LEFT JOIN texts ON doc_id = k WHERE k % 29 <> 0
+  FROM base LEFT JOIN texts ON doc_id = k
   UNION ALL
   SELECT 's' || order_id, order_id, 1, NULL, bought, bought FROM base WHERE k % 53 = 0),
 raw_products AS (

@@ -1,7 +1,10 @@
+import pytest
+from pyspark.sql import functions as F
+
 from feira import schema
 from feira.operators.conform import append_rows
 from feira.plans import orders
-from feira.sources import loaders
+from feira.sources import loaders, sample
 from feira.tables import CleanTables
 from tests.frames import rows
 
@@ -46,3 +49,17 @@ def test_tables_load_from_csv(spark, tmp_path):
 def test_document_ids_are_unique(spark, folder):
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     assert documents.select("doc_id").distinct().count() == documents.count()
+
+
+def test_sample_tables_keep_every_text_and_amount(spark, folder):
+    read = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "orders")}
+    reviews, payments = sample.reviews(spark, folder), sample.payments(spark, folder)
+    keys = read["orders"].select("o_orderkey")
+    texts = read["documents"].join(keys, F.col("doc_id") == F.col("o_orderkey")).select("text")
+    assert texts.exceptAll(reviews.select(F.col("review_comment_message").alias("text"))).count() == 0
+    total = read["orders"].agg(F.sum("o_totalprice") + 50 * F.count_if(F.col("o_orderkey") % 8 == 0)).first()[0]
+    assert payments.agg(F.sum("payment_value")).first()[0] == pytest.approx(total, rel=1e-12)
+    assert payments.select("order_id", "payment_sequential").distinct().count() == payments.count()
+    assert reviews.select("review_id").distinct().count() == reviews.count()
+    unpaid = keys.filter("o_orderkey % 97 = 0").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("order_id"))
+    assert unpaid.count() > 0 and payments.join(unpaid, "order_id").count() == 0
