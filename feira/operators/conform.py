@@ -29,7 +29,8 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One row per ``keys``: the one lowest in ``order``, NULL lowest of all.
 
     An aggregate instead of a ranking window: copies collapse before the shuffle, so a group that
-    holds a large part of the table reaches its reducer as a few rows, and nothing is sorted.
+    holds a large part of the table reaches its reducer as a few rows. Nothing is
+    sorted where ``keys`` and ``order`` are all columns; with others, Spark sorts to aggregate the rows.
     """
     rest = [c for c in df.columns if c not in keys and c != order]
     if not rest:
