@@ -100,70 +100,82 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     * Null arguments are invalid; null content stays null. Empty tables give no rows. Other columns are
       not read.
 
-    All joins are by (conversation, identifier) with written tables, so a conversation with very many
-    calls spreads over all tasks; nothing gathers a conversation.
+    Texts move once: calls and results meet in one aggregate by (conversation, identifier), which keeps the first of
+    either and collapses repeats before its shuffle. All that decides order goes on without texts, with a hash
+    in place of each. Repeated calls, orphans and rows without identifiers are found by a written table of such
+    identifiers, broadcast by Spark where it is small. Nothing gathers a conversation.
     """
     prepare(calls.sparkSession)
-    key = F.to_json(F.struct("conv_id", "call_id"))
-    linked = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    calls = calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), "name", "arguments", "after")
-    calls = calls.withColumns(
-        {
-            "key": F.when(linked, key),
-            "parent": F.when(
-                F.col("after").isNotNull(), F.to_json(F.struct("conv_id", F.col("after").alias("call_id")))
-            ),
-            "_row": F.monotonically_increasing_id(),
-        }
+    ids = ["conv_id", "call_id"]
+    no_text = F.lit(None).cast("string")
+    rows = calls.select(*ids, F.col("turn").cast("long").alias("turn"), "name", F.col("arguments").alias("text"), "after", F.lit(True).alias("is_call"))
+    rows = rows.union(
+        results.select(*ids, F.col("turn").cast("long").alias("turn"), no_text, F.col("content"), no_text, F.lit(False))
     )
-    calls = write_and_read(calls, "calls")
-    taken = calls.filter("key is not null").groupBy("key").agg(F.min(F.struct("turn", "_row")).alias("first"))
-    taken = write_and_read(taken.select("key", F.col("first._row").alias("_row")), "calls-taken")
-    firsts = write_and_read(calls.join(taken, ["key", "_row"]).select("key", "parent"), "calls-first")
-    depth = depths(firsts).withColumnRenamed("key", "_depth_key")
-
-    results = results.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), "content")
-    results = write_and_read(
-        results.withColumns({"key": F.when(linked, key), "_result": F.monotonically_increasing_id()}), "results"
-    )
-    answered = results.filter("key is not null").groupBy("key").agg(F.min(F.struct("turn", "_result")).alias("first"))
-    answered = answered.select(F.col("key").alias("_of"), F.col("first._result").alias("_result"))
-    answers = results.join(answered, "_result").select(
-        "_of", F.col("turn").alias("result_turn"), F.col("content").alias("result"), F.lit(True).alias("answered")
-    )
-    answers = write_and_read(answers, "answers")
+    rows = rows.withColumn("digest", F.xxhash64("name", "text"))
+    keyed = rows.filter(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
+    is_call = F.col("is_call")
 
-    first = taken.select(F.col("_row").alias("_first_row"), F.col("key").alias("_first_key"))
-    rows = calls.join(first, F.col("_row") == F.col("_first_row"), "left")
-    rows = rows.join(depth, F.col("_first_key") == F.col("_depth_key"), "left")
-    rows = rows.join(answers, F.col("_first_key") == F.col("_of"), "left")
-    errors = argument_errors(F.col("name"), F.col("arguments"), schemas)
+    heads = keyed.groupBy(*ids).agg(
+        F.min(F.when(is_call, F.struct("turn", "digest", "after"))).alias("call"), F.count_if(is_call).alias("n_calls")
+    )
+    heads = write_and_read(heads, "calls")
+    others = _others(rows, heads.filter("n_calls <> 1").select(*ids, "n_calls"))
+
+    firsts = heads.filter("n_calls > 0").select(*ids, "call.*")
+    key = F.to_json(F.struct(*ids))
+    parent = F.when(F.col("after").isNotNull(), F.to_json(F.struct("conv_id", F.col("after").alias("call_id"))))
+    depth = depths(firsts.select(key.alias("key"), parent.alias("parent"))).withColumnRenamed("key", "_depth_key")
+    slim = firsts.join(depth, key == F.col("_depth_key"))
+    last = F.lit(1 << 62)
+    slim = slim.select(*ids, "turn", "digest", F.lit(None).cast("long").alias("_row"), F.coalesce("depth", last).alias("_late"), "cyclic")
+    slim = slim.union(others.select(*ids, "turn", "digest", "_row", last, F.lit(False)))
+    places = ranked(slim, ["conv_id"], ["_late", "turn", "call_id", "digest"])
+
+    one = F.when(is_call, F.struct("turn", "digest", "after", "name", "text"))
+    answer = F.when(~is_call, F.struct("turn", "digest", "text"))
+    pairs = keyed.groupBy(*ids).agg(F.min(one).alias("call"), F.min(answer).alias("answer"))
+    pairs = pairs.join(places.filter("_row is null").select(*ids, "_rank", "cyclic"), ids)
     status = (
-        F.when(F.col("key").isNotNull() & F.col("_first_row").isNull(), "repeated")
-        .when(F.col("cyclic"), "cyclic")
+        F.when(F.col("cyclic"), "cyclic")
         .when(F.size("errors") > 0, "invalid")
-        .when(F.col("result_turn") < F.col("turn"), "early")
-        .when(F.col("answered").isNull(), "open")
+        .when(F.col("answer.turn") < F.col("call.turn"), "early")
+        .when(F.col("answer").isNull(), "open")
         .otherwise("ok")
     )
-    rows = rows.withColumn("errors", errors).withColumn("status", status)
-    columns = ["conv_id", "call_id", "turn", "name", "arguments", "depth", "result", "errors", "status"]
-    keys = calls.filter("key is not null").select("key").distinct()
-    orphans = results.join(keys, "key", "left_anti").select(
-        "conv_id",
-        "call_id",
-        "turn",
-        F.lit(None).cast("string").alias("name"),
-        F.lit(None).cast("string").alias("arguments"),
-        F.lit(None).cast("long").alias("depth"),
-        F.col("content").alias("result"),
-        F.array().cast("array<string>").alias("errors"),
-        F.lit("orphan").alias("status"),
+    pairs = pairs.select(
+        *ids, "_rank", "cyclic", "call", "answer", F.col("call.name").alias("name"), F.col("call.text").alias("arguments"), F.col("answer.text").alias("result")
     )
-    both = rows.select(*columns).union(orphans.select(*columns))
-    both = both.withColumn("_late", F.coalesce("depth", F.lit((1 << 62))))
-    placed = ranked(both, ["conv_id"], ["_late", "turn", "call_id", "name", "arguments", "result"])
-    return placed.select("conv_id", "call_id", F.col("_rank").alias("position"), "status", "errors", canonical().alias("json"))
+    pairs = pairs.withColumn("errors", argument_errors(F.col("name"), F.col("arguments"), schemas)).withColumn("status", status)
+
+    rest = others.join(places.filter("_row is not null").select("_row", "_rank"), "_row")
+    argument, content = F.when(is_call, F.col("text")), F.when(~is_call, F.col("text"))
+    rest = rest.select(*ids, "_rank", "is_call", "is_repeat", "name", argument.alias("arguments"), content.alias("result"))
+    errors = F.when(is_call, argument_errors(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
+    status = (
+        F.when(~is_call, "orphan").when(F.col("is_repeat"), "repeated").when(F.size("errors") > 0, "invalid").otherwise("open")
+    )
+    rest = rest.withColumn("errors", errors).withColumn("status", status)
+
+    columns = [*ids, "_rank", "name", "arguments", "result", "errors", "status"]
+    both = pairs.select(*columns).union(rest.select(*columns))
+    return both.select(*ids, F.col("_rank").alias("position"), "status", "errors", canonical().alias("json"))
+
+
+def _others(rows: DataFrame, odd: DataFrame) -> DataFrame:
+    """Rows that are no first call and no answer, with a row number: repeated calls, orphans, rows without identifiers.
+
+    ``odd`` has the identifiers of no call or of several, with their number.
+    """
+    ids = ["conv_id", "call_id"]
+    odd = write_and_read(odd, "odd-calls")
+    kept = ["conv_id", "call_id", "turn", "name", "text", "after", "is_call", "digest"]
+    found = rows.join(odd, ids).filter(F.col("is_call") | (F.col("n_calls") == 0)).select(*kept, F.col("is_call").alias("is_repeat"))
+    loose = rows.filter(F.col("conv_id").isNull() | F.col("call_id").isNull()).select(*kept, F.lit(False))
+    others = write_and_read(found.union(loose).withColumn("_row", F.monotonically_increasing_id()), "other-calls")
+    first = others.filter("is_repeat").groupBy(*ids).agg(F.min(F.struct("turn", "digest", "after", "_row"))["_row"].alias("_row"))
+    first = write_and_read(first.select("_row"), "repeated-firsts")
+    return others.join(first, "_row", "left_anti")
 
 
 def canonical() -> Column:
