@@ -20,13 +20,13 @@ _TYPES = {
 }
 
 
-def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
+def argument_errors(name: Column, arguments: Column, parsed: Column, schemas: dict[str, dict]) -> Column:
     """What is wrong with a call's arguments (JSON text) under its tool's schema, as an array of texts.
 
+    ``parsed`` is the arguments as a variant, a column of its own so that it is parsed once.
     Schemas use a part of JSON Schema: type, required, properties, additionalProperties, enum, minimum,
     maximum, minLength, maxLength. They are parameters of bounded size and become one expression.
     """
-    parsed = F.try_parse_json(arguments)
     out = F.array(F.concat(F.lit("unknown tool "), F.coalesce(name, F.lit("null"))))
     for tool, schema in schemas.items():
         checks = []
@@ -146,18 +146,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     pairs = pairs.select(
         *ids, "_rank", "cyclic", "call", "answer", F.col("call.name").alias("name"), F.col("call.text").alias("arguments"), F.col("answer.text").alias("result")
     )
-    pairs = pairs.withColumn("errors", argument_errors(F.col("name"), F.col("arguments"), schemas)).withColumn("status", status)
+    checked = argument_errors(F.col("name"), F.col("arguments"), F.col("_parsed"), schemas)
+    pairs = pairs.withColumn("_parsed", F.try_parse_json("arguments"))
+    pairs = pairs.withColumn("errors", checked).withColumn("status", status)
 
     rest = others.join(places.filter("_row is not null").select("_row", "_rank"), "_row")
     argument, content = F.when(is_call, F.col("text")), F.when(~is_call, F.col("text"))
     rest = rest.select(*ids, "_rank", "is_call", "is_repeat", "name", argument.alias("arguments"), content.alias("result"))
-    errors = F.when(is_call, argument_errors(F.col("name"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
+    errors = F.when(is_call, checked).otherwise(F.array().cast("array<string>"))
+    rest = rest.withColumn("_parsed", F.try_parse_json("arguments"))
     status = (
         F.when(~is_call, "orphan").when(F.col("is_repeat"), "repeated").when(F.size("errors") > 0, "invalid").otherwise("open")
     )
     rest = rest.withColumn("errors", errors).withColumn("status", status)
 
-    columns = [*ids, "_rank", "name", "arguments", "result", "errors", "status"]
+    columns = [*ids, "_rank", "name", "arguments", "_parsed", "result", "errors", "status"]
     both = pairs.select(*columns).union(rest.select(*columns))
     return both.select(*ids, F.col("_rank").alias("position"), "status", "errors", canonical().alias("json"))
 
@@ -180,7 +183,7 @@ def _others(rows: DataFrame, odd: DataFrame) -> DataFrame:
 
 def canonical() -> Column:
     """The row as JSON: keys in order, no blanks, nulls kept; arguments that are no JSON stay a text."""
-    parsed = F.try_parse_json("arguments")
+    parsed = F.col("_parsed")
     fields = {
         "arguments": parsed,
         "call_id": F.col("call_id"),
