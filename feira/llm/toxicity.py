@@ -168,10 +168,10 @@ def _bag(doc_id: int, text: str | None) -> np.ndarray:
 
 
 def _bag_column():
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def compute(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for ids, texts in rows:
-            yield pd.Series([_bag(int(i), t) for i, t in zip(ids, texts, strict=True)])
+            yield pd.Series([_bag(int(i), t).tobytes() for i, t in zip(ids, texts, strict=True)])
 
     return compute
 
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
     rows = sample(texts, 2 * most_rows).select("doc_id", "label", _bag_column()("doc_id", "text").alias("bag"))
     rows = rows.toPandas().sort_values("doc_id", kind="stable")
-    bags = [np.asarray(b, np.int32) for b in rows.bag]
+    bags = [np.frombuffer(b, np.int32) for b in rows.bag]
     kept = [i for i, b in enumerate(bags) if len(b)]
     toxic = rows.label.to_numpy(np.int64)[kept]
     if len(set(toxic.tolist())) < 2:
