@@ -95,12 +95,13 @@ def train(bags: list[np.ndarray], toxic: np.ndarray, share: float, seed: int = 3
     """
     rng = np.random.default_rng(seed)
     sizes = np.array([len(b) + PADDING for b in bags], np.float32)
-    counted = [np.unique(b, return_counts=True) for b in bags]
+    counted = [(u, c.astype(np.int32)) for u, c in (np.unique(b, return_counts=True) for b in bags)]
     seen = np.bincount(np.concatenate([u for u, _ in counted]), minlength=BUCKETS)
     active = np.flatnonzero(seen >= min(LEAST_BAGS, max(1, len(bags) // 50)))
     place = np.full(BUCKETS, -1, np.int32)
     place[active] = np.arange(len(active), dtype=np.int32)
     rows = [(place[u][place[u] >= 0], (c[place[u] >= 0] / n).astype(np.float32)) for (u, c), n in zip(counted, sizes, strict=True)]
+    del counted
     # N-grams that are everywhere get small steps, rare ones large steps.
     usual = np.zeros(len(active), np.float32)
     for index, value in rows:
