@@ -335,6 +335,22 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), tool_calls.TOOLS).count() == 0
 
 
+def test_repeated_calls_and_results_are_all_returned(spark):
+    good = '{"lines": 2, "text":"x"}'
+    calls = spark.createDataFrame(
+        [(1, "a", 1, "answer", good, None, "x")] * 5 + [(1, "b", 2, "answer", good, "a", "x"), (None, None, None, None, None, None, "x")],
+        "conv_id long, call_id string, turn long, name string, arguments string, after string, digest string",
+    )
+    results = spark.createDataFrame(
+        [(1, "a", 3, "r")] * 4 + [(1, "lost", 3, "r")] * 3, "conv_id long, call_id string, turn long, content string"
+    )
+    out = tool_calls.link(calls, results, tool_calls.TOOLS).collect()
+    status = Counter((r.call_id, r.status) for r in out)
+    assert status == {("a", "ok"): 1, ("a", "repeated"): 4, ("b", "open"): 1, ("lost", "orphan"): 3, (None, "invalid"): 1}
+    assert sorted(r.position for r in out if r.conv_id == 1) == list(range(1, 10))
+    assert next(r.position for r in out if r.status == "ok") == 1
+
+
 # -- empty tables --------------------------------------------------------------------------------------
 
 
