@@ -11,16 +11,28 @@ from feira import schema
 from feira.tables import RawTables
 
 
-def read_table(spark: SparkSession, path: str, fields: StructType, fmt: str = "parquet") -> DataFrame:
+# Tables whose values may hold line breaks: as CSV, a file of them is one task. Files of other tables are split.
+MULTI_LINE = ("reviews", "review_translation")
+
+
+def read_table(
+    spark: SparkSession, path: str, fields: StructType, fmt: str = "parquet", multi_line: bool = True
+) -> DataFrame:
     """Read one table with a fixed schema; nothing is inferred from the data."""
-    reader = spark.read.schema(fields)
-    return read_csv(spark, path, fields) if fmt == "csv" else reader.format(fmt).load(path)
+    if fmt == "csv":
+        return read_csv(spark, path, fields, multi_line=multi_line)
+    return spark.read.schema(fields).format(fmt).load(path)
+
 
+def read_csv(
+    spark: SparkSession, path: str, fields: StructType, header: bool = True, multi_line: bool = True
+) -> DataFrame:
+    """Quoted UTF-8 CSV. The given schema keeps a byte-order mark out of the first column's name.
 
-def read_csv(spark: SparkSession, path: str, fields: StructType, header: bool = True) -> DataFrame:
-    """Quoted UTF-8 CSV. The given schema keeps a byte-order mark out of the first column's name."""
+    With ``multi_line`` values may hold line breaks, and a file is one task; without it files are split.
+    """
     return spark.read.schema(fields).csv(
-        path, header=header, quote='"', escape='"', multiLine=True, encoding="UTF-8", enforceSchema=True
+        path, header=header, quote='"', escape='"', multiLine=multi_line, encoding="UTF-8", enforceSchema=True
     )
 
 
@@ -37,7 +49,7 @@ def load_tables(
     suffix = ".csv" if fmt == "csv" else ""
     return RawTables(
         **{
-            table: read_table(spark, f"{folder}/{names.get(table, table + suffix)}", fields, fmt)
+            table: read_table(spark, f"{folder}/{names.get(table, table + suffix)}", fields, fmt, table in MULTI_LINE)
             for table, fields in schema.TABLES.items()
         }
     )

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feira import schema
 from feira.operators.conform import append_rows
@@ -63,3 +64,21 @@ def test_sample_tables_keep_every_text_and_amount(spark, folder):
     assert reviews.select("review_id").distinct().count() == reviews.count()
     unpaid = keys.filter("o_orderkey % 97 = 0").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("order_id"))
     assert unpaid.count() > 0 and payments.join(unpaid, "order_id").count() == 0
+
+
+def test_csv_without_line_breaks_in_values_is_split(spark, tmp_path):
+    path = tmp_path / "words.csv"
+    path.write_text("\ufeffa,b\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(20000)), encoding="utf-8")
+    fields = StructType.fromDDL("a long, b string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        split = loaders.read_csv(spark, str(path), fields, multi_line=False)
+        whole = loaders.read_csv(spark, str(path), fields)
+        assert split.rdd.getNumPartitions() > 1 == whole.rdd.getNumPartitions()
+        assert split.count() == 20000 and split.exceptAll(whole).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_only_tables_with_texts_are_read_whole():
+    assert set(loaders.MULTI_LINE) <= set(schema.TABLES)
