@@ -1,8 +1,7 @@
-"""Benchmark decontamination: CGK embedding and bit sampling find windows, edit distance verifies them."""
+"""Benchmark decontamination: pieces of items that edits must leave whole find places, edit distance verifies them."""
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,39 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feira.llm.common import prepare, table
-from feira.llm.shingles import mixed
 
 EDIT_SHARE = 0.1  # edits allowed, as a share of the item's length
 BLOCK_CHARS = 200_000  # benchmark text that is held in a task at once; more is gone through in blocks
 SHORTEST = 24  # shorter items are looked up as they are
-SAMPLED = 11  # embedded positions in a hash
-REPEATS = 10  # hashes of a window
-CHUNK = 8192  # windows that are embedded side by side
-MOST_STEPS = 1 << 16
+PIECE = 8  # characters of a piece at most, so that it fits a 64-bit number
 GATHERED = 1 << 20  # characters of texts that are gone through together
-MARKS = 1 << 22  # bits of the table that turns most windows away
+MOST_HITS = 1 << 22  # pieces met in a stretch of text before it is halved
+MARKS = 1 << 22  # bits of the table that turns most places away
 
 
-@dataclass(frozen=True)
-class Shape:
-    """Windows for items of ``size`` to twice as many characters, less one."""
-
-    size: int
-
-    @property
-    def steps(self) -> int:
-        """Steps of the walk; it gets on in half of them, so a window is about a quarter of the size long."""
-        return self.size // 2
-
-    @property
-    def reach(self) -> int:
-        """Characters that a walk hardly ever leaves."""
-        return self.size * 3 // 10
-
-    @property
-    def stride(self) -> int:
-        """Documents are tried at every so many characters, items at every one: an item holds two tries at least."""
-        return max(1, (self.size - self.reach) * 3 // 7)
+def piece_length(chars: int, most: int) -> int:
+    """Length of an item's pieces: short enough that there is one more of them, at least, than there are edits."""
+    return max(1, min(PIECE, chars // (most + 1)))
 
 
 _FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -60,57 +39,21 @@ def folded(text: str | None) -> np.ndarray:
     return np.frombuffer(raw.translate(_FOLD), np.uint8)
 
 
-@functools.cache
-def _walk() -> np.ndarray:
-    """The shared randomness of the embedding: for each step and character, whether the walk goes on.
-
-    A character has one 64-bit word for every 56 steps: a bit for each of them, above the character itself.
-    """
-    rng = np.random.Generator(np.random.PCG64(71))
-    words = rng.integers(0, 1 << 56, (MOST_STEPS // 56 + 1, 256), dtype=np.uint64)
-    return (words << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-
-
-@functools.cache
-def _positions(steps: int) -> np.ndarray:
-    """The embedded positions that each hash samples."""
-    rng = np.random.Generator(np.random.PCG64(72))
-    return np.stack([rng.choice(steps, min(SAMPLED, steps), replace=False) for _ in range(REPEATS)])
-
+def pieces_at(codes: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` characters from each place on, packed into a number; places nearer to the end have none."""
+    if len(codes) < n:
+        return np.zeros(0, np.uint64)
+    wide, width = codes.astype(np.uint64), 1
+    while width < n:
+        # Twice as wide as far as that fits; the last step overlaps itself.
+        more = min(width, n - width)
+        wide = wide[: len(wide) - more] | wide[more:] << np.uint64(8 * more)
+        width += more
+    return wide
 
-def embed_and_hash(codes: np.ndarray, starts: np.ndarray, shape: Shape) -> np.ndarray:
-    """REPEATS hashes of the window at each start.
 
-    The embedding writes the character under a pointer and, by the step's random bit for this character,
-    moves on or stays, so two windows that differ by an edit soon walk in step again and their embeddings
-    differ in few positions. Bit sampling hashes a few random positions. Past the end there are zeros.
-    """
-    uses: dict[int, list[int]] = {}
-    for repeat, positions in enumerate(_positions(shape.steps)):
-        for t in positions:
-            uses.setdefault(int(t), []).append(repeat)
-    padded = np.concatenate([codes, np.zeros(shape.steps + 1, np.uint8)])
-    one, byte = np.uint64(1), np.uint64(255)
-    at = starts.astype(np.int64)
-    hashes = np.zeros((REPEATS, len(starts)), np.uint64)
-    for first in range(0, len(starts), CHUNK):
-        # A chunk's pointers, and the stretch of text under them, stay in the processor's cache.
-        pointer, part = at[first : first + CHUNK] - at[first], hashes[:, first : first + CHUNK]
-        stretch = padded[at[first] : at[min(first + CHUNK, len(at)) - 1] + shape.steps + 1]
-        for t in range(shape.steps):
-            if t % 56 == 0:
-                words = _walk()[t // 56][stretch]
-            here = words[pointer]
-            if t in uses:
-                value = ((here & byte) + one) * np.uint64(_step_factor(t))
-                for repeat in uses[t]:
-                    part[repeat] += value
-            pointer += ((here >> np.uint64(8 + t % 56)) & one).view(np.int64)
-    return mixed(hashes + (np.arange(REPEATS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None])
-
-
-def _step_factor(t: int) -> int:
-    return (0x9E3779B97F4A7C15 * (2 * t + 1) ^ 0xC2B2AE3D27D4EB4F * (t + 7)) % (1 << 64) | 1
+def _slots(pieces: np.ndarray) -> np.ndarray:
+    return (pieces * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MARKS.bit_length() + 1)
 
 
 def distance(item: list[int], region: list[int], most: int) -> tuple[int, int] | None:
@@ -141,71 +84,98 @@ def distance(item: list[int], region: list[int], most: int) -> tuple[int, int] |
 
 @dataclass(frozen=True)
 class Block:
-    """Items with their embedded windows, by shape: sorted hashes, and the item and offset of each."""
+    """Items with their pieces, by length: sorted pieces, the item and offset of each, and a table of marks."""
 
     ids: list[int]
     texts: list[np.ndarray]
     limits: list[int]
-    tables: list[tuple[Shape, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    whole: np.ndarray  # pieces that a match holds at least
+    tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     short: list[int]
     grams: list[np.ndarray]
 
 
 def build_block(items: list[tuple[int, str]], edit_share: float) -> Block:
     texts = [folded(text) for _, text in items]
-    shapes: dict[int, list[int]] = {}
-    short = []
+    limits = [int(len(codes) * edit_share) for codes in texts]
+    lengths: dict[int, list[int]] = {}
+    short, whole = [], np.ones(len(texts), np.int64)
     for i, codes in enumerate(texts):
         if len(codes) < SHORTEST:
             short.append(i)
         else:
-            shapes.setdefault(1 << (len(codes).bit_length() - 1), []).append(i)
+            n = piece_length(len(codes), limits[i])
+            whole[i] = max(1, len(codes) // n - limits[i])
+            lengths.setdefault(n, []).append(i)
     tables = []
-    for size, members in shapes.items():
-        shape = Shape(size)
-        hashes, owners, offsets = [], [], []
-        for i in members:
-            starts = np.arange(max(1, len(texts[i]) - shape.reach + 1))
-            hashes.append(embed_and_hash(texts[i], starts, shape))
-            owners.append(np.full(len(starts), i))
-            offsets.append(starts)
-        flat = np.concatenate(hashes, axis=1)
-        order = np.argsort(flat.ravel(), kind="stable")
-        width = flat.shape[1]
+    for n, members in lengths.items():
+        offsets = [np.arange(0, len(texts[i]) - n + 1, n) for i in members]
+        pieces = np.concatenate([pieces_at(texts[i], n)[::n] for i in members])
+        owner = np.repeat(members, [len(x) for x in offsets])
+        order = np.argsort(pieces, kind="stable")
         marks = np.zeros(MARKS // 8, np.uint8)
-        slot = flat.ravel() & np.uint64(MARKS - 1)
+        slot = _slots(pieces)
         np.bitwise_or.at(marks, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
-        owner, offset = np.concatenate(owners), np.concatenate(offsets)
-        tables.append((shape, flat.ravel()[order], owner[order % width], offset[order % width], marks))
-    limits = [int(len(codes) * edit_share) for codes in texts]
-    return Block([i for i, _ in items], texts, limits, tables, short, [np.unique(_grams(t)) for t in texts])
+        tables.append((n, pieces[order], owner[order], np.concatenate(offsets)[order], marks))
+    return Block([i for i, _ in items], texts, limits, whole, tables, short, [np.unique(_grams(t)) for t in texts])
+
+
+def _places(row: np.ndarray, ends: np.ndarray, block: Block, table: tuple) -> Iterator[tuple[int, int, int]]:
+    """(text, item, begin) where as many pieces of the item stand in the text as a match must hold.
+
+    A match's pieces stand where its begin puts them, but for the edits before them; so their begins differ by no more
+    than the edits allowed. A stretch overlaps the next by more than the longest match. One with very many
+    pieces is halved as long as it is much longer than that.
+    """
+    n, pieces, owners, offsets, marks = table
+    limits = np.array(block.limits)
+    longest = max(len(block.texts[i]) + block.limits[i] for i in set(owners.tolist()))
+    work = [(base, min(base + GATHERED, len(row))) for base in range(0, len(row), GATHERED)]
+    while work:
+        low, high = work.pop()
+        grams = pieces_at(row[low : high + longest], n)
+        slot = _slots(grams)
+        maybe = np.flatnonzero(marks[(slot >> np.uint64(3)).view(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+        first = np.searchsorted(pieces, grams[maybe], "left")
+        count = np.searchsorted(pieces, grams[maybe], "right") - first
+        if count.sum() > MOST_HITS and high - low > 4 * longest:
+            work += [(low, (low + high) // 2), ((low + high) // 2, high)]
+            continue
+        at = np.repeat(maybe + low, count)
+        if not len(at):
+            continue
+        which = np.arange(len(at)) - np.repeat(np.cumsum(count) - count - first, count)
+        text = np.searchsorted(ends, at, "right")
+        # A piece that runs on into the next text is none.
+        inside = at + n <= ends[text]
+        at, which, text = at[inside], which[inside], text[inside]
+        if not len(at):
+            continue
+        owner = owners[which]
+        span = high - low + 4 * longest
+        key = (owner * (int(text[-1] - text[0]) + 1) + text - text[0]) * span + (at - offsets[which] - low + longest)
+        order = np.argsort(key, kind="stable")
+        key, owner, text = key[order], owner[order], text[order]
+        last = np.arange(len(key)) + block.whole[owner] - 1
+        good = np.flatnonzero(last < len(key))
+        good = good[key[last[good]] - key[good] <= limits[owner[good]]]
+        begin = key[good] % span + low - longest
+        starts = np.concatenate([[0], ends])[text[good]]
+        yield from zip(text[good].tolist(), owner[good].tolist(), (begin - starts).tolist(), strict=True)
 
 
 def find(texts: list[str | None], block: Block) -> list[list[tuple[int, int, int, int]]]:
     """For each text the (item id, start, end, edits) of the items in it, the best match of each.
 
-    Whole texts are read. They are laid end to end and embedded together; a window that runs on into the next
-    text is a candidate like others, and candidates are verified inside their own text.
+    Whole texts are read. They are laid end to end and gone through together.
     """
     codes = [folded(t) for t in texts]
     ends = np.cumsum([len(c) for c in codes])
     row = np.concatenate(codes) if codes else np.zeros(0, np.uint8)
     spots: dict[tuple[int, int], set[int]] = {}
-    for shape, hashes, owners, offsets, marks in block.tables:
-        for base in range(0, len(row), GATHERED):
-            starts = np.arange(base, min(len(row), base + GATHERED), shape.stride)
-            found = embed_and_hash(row[base : base + GATHERED + shape.steps], starts - base, shape)
-            slot = found & np.uint64(MARKS - 1)
-            maybe = (marks[(slot >> np.uint64(3)).view(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-            _, column = np.nonzero(maybe)
-            values = found[maybe.astype(bool)]
-            low, high = np.searchsorted(hashes, values, "left"), np.searchsorted(hashes, values, "right")
-            hit = np.flatnonzero(high > low)
-            for a, b, start in zip(low[hit], high[hit], starts[column[hit]], strict=True):
-                text = int(np.searchsorted(ends, start, "right"))
-                begin = int(start - (ends[text] - len(codes[text])))
-                for k in range(a, b):
-                    spots.setdefault((text, int(owners[k])), set()).add(begin - int(offsets[k]))
+    for table in block.tables:
+        for text, i, begin in _places(row, ends, block, table):
+            spots.setdefault((text, i), set()).add(begin)
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     for (text, i), begins in spots.items():
         if best := _verify(codes[text], block, i, sorted(begins)):
@@ -225,13 +195,14 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 def _verify(codes: np.ndarray, block: Block, i: int, begins: list[int]) -> tuple[int, int, int, int] | None:
     item, most = block.texts[i], block.limits[i]
     best, tried = None, -(1 << 60)
+    apart = len(item) // 4
     for begin in begins:
-        slack = most + len(item) // 4
-        if begin < tried + slack // 2:
+        # Places near the last one tried lie in its region: a match begins up to ``most`` before or after its place.
+        if begin < tried + apart:
             continue
         tried = begin
-        low = max(0, begin - slack)
-        region = codes[low : begin + len(item) + slack]
+        low = max(0, begin - most)
+        region = codes[low : begin + apart + len(item) + 2 * most]
         # An exact copy is looked for first: it needs no table.
         at = region.tobytes().find(item.tobytes())
         if at >= 0:
@@ -271,12 +242,11 @@ def leaks(
     An item is in a text where a passage of it is within ``edit_share`` of the item's length in edits
     (Levenshtein, over code points, A-Z lower-cased, blanks alike). ``start`` and ``end`` are code points.
 
-    Items are the queries and every document is gone through for them, in blocks of items of bounded size.
-    Windows follow the size of the items: classes of items by powers of two share a window of about a quarter of
-    the class's least length. Documents are embedded at strided starts, items at every start, so an item
-    anywhere in a text holds two or more windows that meet one of its own, character by character. Ten samples of
-    eleven embedded positions each make exact passages certain and passages with 5 % edits found with over
-    0.9 (measured in the tests); what is found is verified exactly.
+    Items are the queries and every document is gone through for them, in blocks of items of bounded size. An item
+    is cut into pieces of up to eight characters, more of them than edits are allowed. An edit breaks one piece at
+    most, so a match holds the others as they are, in places that agree but for the edits. Every place of a text is
+    looked up among the pieces; where enough of an item's pieces stand, the whole item is verified exactly. So
+    nothing within the limit is missed, at any length.
 
     * Null and empty texts hold nothing; items without id or text are passed over; items shorter than 24
       characters count where they occur as they are.

@@ -176,6 +176,36 @@ def test_leaks_are_found_and_clean_texts_are_not(spark, docs):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def spoiled(text, edits, rng):
+    """The text with as many single-character edits, anywhere in it."""
+    s = list(text)
+    for _ in range(edits):
+        at = rng.randrange(len(s))
+        s[at : at + rng.randrange(2)] = rng.choice(["", "q", "z"])
+    return "".join(s)
+
+
+@pytest.mark.parametrize("size", [24, 29, 39, 70, 79, 130, 262, 511, 520, 1100, 2100, 5000])
+def test_passages_at_the_limit_of_edits_are_all_found(size):
+    rng = random.Random(size)
+    for k in range(20):
+        item = prose(9000 + k, size)[:size]
+        text = prose(1 + k, 40) + spoiled(item, size // 10, rng) + prose(400 + k, 3 + k)
+        others = [(100 + j, prose(7000 + j, 50)) for j in range(5)]
+        block = decontaminate.build_block([(1, item), *others], decontaminate.EDIT_SHARE)
+        found = decontaminate.find(["", prose(3, 20), text], block)
+        assert found[:2] == [[], []]
+        [(i, start, end, edits)] = found[2]
+        assert i == 1 and edits <= size // 10 and abs(end - start - size) <= edits
+
+
+def test_an_item_longer_than_a_stretch_of_text_is_found():
+    item = "".join(random.Random(77).choices("abcdefghijklmnopqrstuvwxyz ", k=300_000))
+    block = decontaminate.build_block([(1, item)], decontaminate.EDIT_SHARE)
+    text = prose(5, 30) + item + prose(6, 30)
+    assert decontaminate.find([prose(8, 50), text], block) == [[], [(1, len(prose(5, 30)), len(prose(5, 30)) + 300_000, 0)]]
+
+
 def test_edit_distance_matches_the_table():
     rng = random.Random(2)
     for _ in range(50):
