@@ -81,7 +81,13 @@ def depths(calls: DataFrame) -> DataFrame:
     return state.select("key", F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link(
+    calls: DataFrame,
+    results: DataFrame,
+    schemas: dict[str, dict],
+    every_result: bool = False,
+    other_turns: DataFrame | None = None,
+) -> DataFrame:
     """One row per call and per result without a call: conv_id, call_id, position, status, errors, json.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), after (the call that it waits for, or null).
@@ -93,7 +99,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     Status, the first that holds: orphan (a result without a call), repeated (a later call with an identifier
     already taken in the conversation, or all of the same turn but one), cyclic (its ``after`` runs in a
     circle; ordered last), invalid (``errors`` says why), early (its result stands before it), open (no result),
-    ok. Of several results for an identifier the first by turn counts; the others are not returned.
+    ok. Of several results for an identifier the first by turn counts; with ``every_result`` each of the others is a
+    row of its own, ordered last, with the status repeated result. ``other_turns`` (conv_id, turn, role, content) are
+    neither calls nor results; each is a row ordered last, named by its role, with the status no call.
 
     * Null conv_id or call_id are never linked: such a call is open or invalid, such a result an orphan. An
       ``after`` that names no call counts as null.
@@ -112,15 +120,20 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     rows = rows.union(
         results.select(*ids, F.col("turn").cast("long").alias("turn"), no_text, F.col("content"), no_text, F.lit(False))
     )
+    if other_turns is not None:
+        role = F.coalesce("role", F.lit("no role"))
+        turn = F.col("turn").cast("long").alias("turn")
+        rows = rows.union(other_turns.select("conv_id", no_text, turn, role, F.col("content"), no_text, F.lit(False)))
     rows = rows.withColumn("digest", F.xxhash64("name", "text"))
     keyed = rows.filter(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
     is_call = F.col("is_call")
 
     heads = keyed.groupBy(*ids).agg(
-        F.min(F.when(is_call, F.struct("turn", "digest", "after"))).alias("call"), F.count_if(is_call).alias("n_calls")
+        F.min(F.when(is_call, F.struct("turn", "digest", "after"))).alias("call"), F.count_if(is_call).alias("n_calls"),
+        F.count_if(~is_call).alias("n_results"),
     )
     heads = write_and_read(heads, "calls")
-    others = _others(rows, heads.filter("n_calls <> 1").select(*ids, "n_calls"))
+    others = _others(rows, heads.filter("n_calls <> 1 or n_results > 1" if every_result else "n_calls <> 1"), every_result)
 
     firsts = heads.filter("n_calls > 0").select(*ids, "call.*")
     key = F.to_json(F.struct(*ids))
@@ -156,7 +169,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     errors = F.when(is_call, checked).otherwise(F.array().cast("array<string>"))
     rest = rest.withColumn("_parsed", F.try_parse_json("arguments"))
     status = (
-        F.when(~is_call, "orphan").when(F.col("is_repeat"), "repeated").when(F.size("errors") > 0, "invalid").otherwise("open")
+        F.when(~is_call & F.col("name").isNotNull(), "no call")
+        .when(~is_call & F.col("is_repeat"), "repeated result")
+        .when(~is_call, "orphan")
+        .when(F.col("is_repeat"), "repeated").when(F.size("errors") > 0, "invalid").otherwise("open")
     )
     rest = rest.withColumn("errors", errors).withColumn("status", status)
 
@@ -165,18 +181,23 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     return both.select(*ids, F.col("_rank").alias("position"), "status", "errors", canonical().alias("json"))
 
 
-def _others(rows: DataFrame, odd: DataFrame) -> DataFrame:
-    """Rows that are no first call and no answer, with a row number: repeated calls, orphans, rows without identifiers.
+def _others(rows: DataFrame, odd: DataFrame, every_result: bool) -> DataFrame:
+    """Rows that are no first call and no answer, with a row number: repeated calls and, if wanted, results, orphans,
+    rows without identifiers.
 
-    ``odd`` has the identifiers of no call or of several, with their number.
+    ``odd`` has the identifiers of no call, or of several calls or results, with their numbers.
     """
     ids = ["conv_id", "call_id"]
-    odd = write_and_read(odd, "odd-calls")
+    odd = write_and_read(odd.select(*ids, "n_calls"), "odd-calls")
     kept = ["conv_id", "call_id", "turn", "name", "text", "after", "is_call", "digest"]
-    found = rows.join(odd, ids).filter(F.col("is_call") | (F.col("n_calls") == 0)).select(*kept, F.col("is_call").alias("is_repeat"))
+    is_call, n_calls = F.col("is_call"), F.col("n_calls")
+    wanted = is_call & (n_calls > 1) | ~is_call & (F.lit(every_result) | (n_calls == 0))
+    found = rows.join(odd, ids).filter(wanted).select(*kept, (n_calls > 0).alias("is_repeat"))
     loose = rows.filter(F.col("conv_id").isNull() | F.col("call_id").isNull()).select(*kept, F.lit(False))
     others = write_and_read(found.union(loose).withColumn("_row", F.monotonically_increasing_id()), "other-calls")
-    first = others.filter("is_repeat").groupBy(*ids).agg(F.min(F.struct("turn", "digest", "after", "_row"))["_row"].alias("_row"))
+    # Of the repeats of a call, and of a result, the first is the one that is linked.
+    order = F.min(F.struct("turn", "digest", "after", "_row"))
+    first = others.filter("is_repeat").groupBy(*ids, "is_call").agg(order["_row"].alias("_row"))
     first = write_and_read(first.select("_row"), "repeated-firsts")
     return others.join(first, "_row", "left_anti")
 
@@ -243,7 +264,14 @@ def as_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def other_turns(turns: DataFrame) -> DataFrame:
+    """Turns of neither the user nor the assistant, those without a role too."""
+    other = ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    return turns.filter(other).select("conv_id", "turn", "role", F.col("text").alias("content"))
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    calls, results = as_calls(table(spark, folder, "conversations"))
-    out = link(calls, results, TOOLS)
+    turns = table(spark, folder, "conversations")
+    calls, results = as_calls(turns)
+    out = link(calls, results, TOOLS, every_result=True, other_turns=other_turns(turns))
     return out.select("conv_id", "call_id", "position", "status", F.array_join("errors", "; ").alias("errors"), "json")

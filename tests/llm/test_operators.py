@@ -381,6 +381,27 @@ def test_repeated_calls_and_results_are_all_returned(spark):
     assert next(r.position for r in out if r.status == "ok") == 1
 
 
+def test_further_results_and_other_turns_are_rows_of_the_query(spark, tmp_path):
+    turns = [
+        (1, 0, "system", "rules"), (1, 1, "user", "one two three"), (1, 2, "assistant", "r1"), (1, 2, "assistant", "r2"),
+        (1, 2, "assistant", "r2"), (1, 3, "user", "four five six"), (1, 3, "user", "seven eight nine"), (1, 4, "assistant", "r3"),
+        (1, 4, "assistant", "r4"), (1, 9, None, "odd"), (2, 2, "assistant", "x"), (2, 2, "assistant", "y"), (None, 5, "tool", "t"),
+    ]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    out = tool_calls.query(spark, str(tmp_path)).collect()
+    status = Counter((r.conv_id, r.call_id, r.status) for r in out)
+    assert status == {
+        (1, "t1", "ok"): 1, (1, "t1", "repeated result"): 2, (1, "t3", "ok"): 1, (1, "t3", "repeated"): 1,
+        (1, "t3", "repeated result"): 1, (1, None, "no call"): 2, (2, "t1", "orphan"): 2, (None, None, "no call"): 1,
+    }
+    assert sorted(r.position for r in out if r.conv_id == 1) == list(range(1, 9))
+    results = Counter(json.loads(r.json)["result"] for r in out)
+    assert results == {"r1": 1, "r2": 2, "r3": 1, "r4": 1, "rules": 1, "odd": 1, "x": 1, "y": 1, "t": 1, None: 1}
+    names = {json.loads(r.json)["name"] for r in out if r.status == "no call"}
+    assert names == {"system", "no role", "tool"}
+
+
 # -- empty tables --------------------------------------------------------------------------------------
 
 
