@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import json
 import random
+import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote
 
@@ -264,6 +265,48 @@ def test_nested_layers_are_unwrapped_and_mapped():
     assert secrets.scan(None) == secrets.scan("") == ([], [])
 
 
+def _wrapped(raw, width=64):
+    code = base64.b64encode(raw).decode()
+    return "\n".join(code[i : i + width] for i in range(0, len(code), width))
+
+
+SECRET = b"password=abc12345def"
+FILLER = prose(12, 60).encode()
+
+
+@pytest.mark.parametrize(
+    "code",
+    [
+        base64.b64encode(gzip.compress(gzip.compress(SECRET))).decode(),
+        base64.b64encode(gzip.compress(zlib.compress(gzip.compress(FILLER + SECRET)))).decode(),
+        base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET)).decode(),
+        base64.b64encode(gzip.compress(FILLER) + b"\0\0" + SECRET).decode(),
+        *[base64.b64encode(start + b" " + SECRET).decode() for start in (b"x", b"x?", b"x^", b"x}", b"x^ and")],
+        _wrapped(b"12345678901234567890123456789012345678" + SECRET + FILLER),
+        _wrapped(gzip.compress(FILLER + SECRET), 76),
+        "averylongwordbefore\n" + _wrapped(gzip.compress(FILLER + SECRET), 76) + "\nand",
+        "a" + base64.b64encode(b"a " + SECRET).decode().rstrip("="),
+        "ab/" + base64.b64encode(b"a " + SECRET).decode().rstrip("="),
+        base64.b64encode(b"\x00\xff\xfe" + SECRET).decode(),
+    ],
+)
+def test_every_layer_is_opened(code):
+    text = f"before {code} after"
+    base, spans = secrets.scan(text)
+    assert base == []
+    assert spans and all(7 <= start < end <= 7 + len(code) for _, start, end in spans)
+
+
+def test_large_layers_are_inflated_to_the_end(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 1 << 14)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    noise = random.Random(1).randbytes(50_000)
+    packed = gzip.compress(b"ab " * 30_000 + SECRET)
+    for raw in (packed, gzip.compress(packed), gzip.compress(gzip.compress(noise) + packed), gzip.compress(noise)[:-999] + packed):
+        code = base64.b64encode(raw).decode()
+        assert any(kind == "assign" for kind, _, _ in secrets.scan(f"x {code} y")[1])
+
+
 def test_secret_rows(docs):
     assert secrets.find_secrets(docs).filter("size(spans) > 0").count() == 0
     assert secrets.find_secrets(docs).count() == docs.count()
