@@ -63,6 +63,14 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII text, bit by bit."""
+    byte = f"ascii(substr({text}, CAST(k // 8 + 1 AS INTEGER), 1))"
+    bits = f"list_transform(range(8 * length({text})), lambda k: CAST(({byte} >> CAST(k % 8 AS INTEGER)) & 1 AS BIGINT))"
+    step = "lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), {step}), 4294967295)"
+
+
 def same(left: list[Column], right: list[Column]) -> Column:
     """Equality by position that also pairs null with null."""
     test = left[0].eqNullSafe(right[0])

@@ -6,6 +6,7 @@ from feira.llm import (
     decontaminate,
     fingerprints,
     line_dedup,
+    merkle,
     mixing,
     near_join,
     quality,
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_chat_tool_calls": tool_calls.query,
     "op9_benchmark_decontamination": decontaminate.query,
     "op10_quality_classifier": quality.query,
+    "op11_merkle_manifest": merkle.query,
 }
 
 ORACLES = {
     "op2_source_mixing": mixing.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
