@@ -9,10 +9,12 @@ from feira.llm import (
     merkle,
     mixing,
     near_join,
+    packing,
     quality,
     secrets,
     tool_calls,
     toxicity,
+    trie,
     url_filter,
 )
 
@@ -28,10 +30,13 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.query,
     "op10_quality_classifier": quality.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_best_fit_packing": packing.query,
+    "op13_conversation_trie": trie.query,
 }
 
 ORACLES = {
     "op2_source_mixing": mixing.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op13_conversation_trie": trie.ORACLE,
 }
