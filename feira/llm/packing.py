@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -18,35 +19,88 @@ from feira.session import write_and_read
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0  # the id that ends every document
-CACHED_WORDS = 300_000
-CACHED_BYTES = 64  # longer words are encoded anew each time
+CACHED = 96 << 20  # bytes of one generation of known words
+ENTRY = 160  # bytes that a known word takes besides its own and its ids'
+GROUPED = 1 << 20  # characters of texts whose new words are encoded together
 CONTENT = {"ids": "ids array<int>", "crc32": "ids_crc32 long"}
 
 
-class WordIds(dict):
-    """Token ids by word, so that a word met before costs one look-up.
+class WordIds:
+    """Token ids of texts, word by word, so that a word met before costs one look-up.
 
-    Text is cut at ASCII blanks before it is encoded. This tokenizer drops blanks, folds letters one by one
-    and lets no token span a blank, so the words' ids in a row are the text's.
+    Text is cut at ASCII blanks. A tokenizer that drops blanks, folds letters one by one and lets no token
+    span a blank gives the words' ids in a row; one that keeps blanks encodes whole texts instead. New words
+    are encoded together. Words are kept in two generations of bounded size: when the young one is full
+    it becomes the old one, and only words met again stay.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, words)), (END,)), np.uint32)
+        self.cached, self.size, self.young, self.old = cached, 0, {}, {}
+        encoded = [self._whole(t) for t in ("one two", "one", "two")]
+        self.by_words = encoded[0] == encoded[1] + encoded[2]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        if self.size > self.cached:
+            self.old, self.young, self.size = self.young, {}, 0
+        new = []
+        for word in words:
+            if word not in self.young:
+                ids = self.old.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    self._keep(word, ids)
+        if not new:
+            return
+        texts = [w.decode("utf-8", "surrogatepass") for w in new]
+        encoding = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        begins = np.fromiter((b for b, _ in encoding.offsets), np.int64)
+        cuts = [0, *(np.searchsorted(begins, ends) * 4).tolist()]
+        ids = np.array(encoding.ids, "<u4").tobytes()
+        for k, word in enumerate(new):
+            self._keep(word, ids[cuts[k] : cuts[k + 1]])
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.young[word] = ids
+        self.size += len(word) + len(ids) + ENTRY
+
+    def of(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text and the end id; null is an empty text."""
+        end = np.uint32(END).tobytes()
+        if not self.by_words:
+            for text in texts:
+                yield np.frombuffer(self._whole(text or "") + end, "<u4")
+            return
+        split = [(text or "").encode("utf-8", "surrogatepass").split() for text in texts]
+        self._learn(set(chain.from_iterable(split)))
+        for words in split:
+            yield np.frombuffer(b"".join(map(self.young.__getitem__, words)) + end, "<u4")
+
+
+@functools.cache
+def _word_ids(path: str) -> WordIds:
+    """One per worker process: words are kept from task to task."""
+    return WordIds(path)
+
+
+def _groups(texts: Iterator[str | None]) -> Iterator[list[str | None]]:
+    """Texts together, up to some size, so that their new words are encoded at once."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text or "")
+        if size >= GROUPED:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -70,11 +124,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, c
     id_type = docs.schema["doc_id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path(path))
+        words = _word_ids(tokenizer_path(path))
         for batch in batches:
             row, numbers, starts, lengths, made = [], [], [], [], []
-            for at, text in enumerate(batch.column(1)):
-                ids = words.of(text.as_py())
+            texts = (text.as_py() for text in batch.column(1))
+            for at, ids in enumerate(chain.from_iterable(map(words.of, _groups(texts)))):
                 for number, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     row.append(at)

@@ -23,17 +23,30 @@ def tokenizer():
 
 @pytest.fixture(scope="module")
 def words():
-    return packing.WordIds(packing.tokenizer_path(None))
+    """So small a cache that words are forgotten and learnt again all the time."""
+    return packing.WordIds(packing.tokenizer_path(None), cached=2000)
 
 
 ODD = [" ", "\t", "\n", "\r\n", " ", " ", "\x1c", "'s", "'LL", "é", "é", "́", "ΑΣ", "İ", "ß", "日本", "👍🏽", "12", "<|endoftext|>", "<|startoftext|> ", "a", "Bc", "!?", "\x00"]
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=6)), max_size=20))
-def test_words_one_by_one_give_the_ids_of_the_text(tokenizer, words, parts):
-    text = "".join(parts)
-    assert words.of(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+@given(st.lists(st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=6)), max_size=20), max_size=4))
+def test_words_one_by_one_give_the_ids_of_the_text(tokenizer, words, many):
+    texts = ["".join(parts) for parts in many] + [None]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert words.by_words
+    assert [ids.tolist() for ids in words.of(texts)] == want
+
+
+def test_a_tokenizer_that_keeps_blanks_encodes_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, plain = packing.WordIds(path), Tokenizer.from_file(path)
+    assert not words.by_words
+    assert next(words.of(["one  two\n three"])).tolist() == [*plain.encode("one  two\n three", add_special_tokens=False).ids, 0]
 
 
 def plain_best_fit(lengths, capacity):
