@@ -1,6 +1,6 @@
 """Marketplace analytics on Spark DataFrames: cleaning, KPIs and reporting views."""
 
-from feira.session import build_session, configure
+from feira.session import Intermediates, build_session, configure
 from feira.tables import CleanTables, RawTables
 
-__all__ = ["CleanTables", "RawTables", "build_session", "configure"]
+__all__ = ["CleanTables", "Intermediates", "RawTables", "build_session", "configure"]

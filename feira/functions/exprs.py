@@ -94,6 +94,22 @@ def per_year(year: Column | str, years: Iterable[int], value: Column, prefix: st
     return [F.sum(F.when(year == y, value).otherwise(0)).alias(f"{prefix}_{y}") for y in years]
 
 
+def folded(c: Column | str) -> Column:
+    """What texts are compared and grouped by: case and trailing blanks don't count."""
+    return F.lower(F.rtrim(col(c)))
+
+
+def group_folded(df: DataFrame, names: Iterable[str], *aggregates: Column) -> DataFrame:
+    """``df`` grouped by the folded texts of ``names``; each group bears the least of its spellings.
+
+    Spellings meet in the partial aggregates, so a text with very many rows reaches its group as few.
+    """
+    names = list(names)
+    keys = [folded(n).alias(f"__folded_{n}") for n in names]
+    spelt = [F.min(n).alias(n) for n in names]
+    return df.groupBy(*keys).agg(*spelt, *aggregates).drop(*[f"__folded_{n}" for n in names])
+
+
 def with_text(df: DataFrame, formats: dict[str, Column]) -> DataFrame:
     """Turn each number ``x`` into its text form ``x`` plus the number as ``x_num``.
 

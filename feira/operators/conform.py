@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from feira.functions.exprs import folded
+
 
 def enrich(df: DataFrame, lookup: DataFrame, key: str, column: str) -> DataFrame:
     """Fill ``column`` from ``lookup`` by ``key``, keeping the old value (or NULL) where nothing matches.
@@ -58,24 +60,26 @@ def to_money(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def recode(column: str, old: str, new: str) -> Column:
-    return F.when(F.col(column) == old, new).otherwise(F.col(column))
+    """``new`` where the text is ``old``, case and trailing blanks aside."""
+    return F.when(folded(column) == old.lower().rstrip(" "), new).otherwise(F.col(column))
 
 
 def translate_text(df: DataFrame, lookup: DataFrame, text: str, target: str) -> DataFrame:
-    """Attach ``lookup.column2`` where ``lookup.column1`` equals ``text`` exactly.
+    """Attach ``lookup.column2`` where ``lookup.column1`` equals ``text``, case and trailing blanks aside.
 
-    Digests stand in for the texts in the shuffle. The lookup shrinks to one row per text; grouping it
+    Digests of the folded texts stand in for the texts in the shuffle. The lookup shrinks to one row per text; grouping it
     by the length as well keeps that grouping's partitioning from serving the join, so both join inputs
     are plain shuffles and a message shared by very many rows can be split at run time.
     """
+    digest = lambda c: F.sha2(folded(c), 256)
     one_each = (
         lookup.where(F.col("column1").isNotNull())
-        .select(F.sha2("column1", 256).alias("__digest"), F.length("column1").alias("__length"), "column2")
+        .select(digest("column1").alias("__digest"), F.length(folded("column1")).alias("__length"), "column2")
         .groupBy("__digest", "__length")
         .agg(F.min("column2").alias(target))
         .select("__digest", target)
     )
-    return df.withColumn("__digest", F.sha2(text, 256)).join(one_each, "__digest", "left").drop("__digest")
+    return df.withColumn("__digest", digest(text)).join(one_each, "__digest", "left").drop("__digest")
 
 
 def literal_rows(spark: SparkSession, rows: Iterable[tuple], fields: StructType) -> DataFrame:

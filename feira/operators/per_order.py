@@ -42,5 +42,15 @@ def items_per_order(items: DataFrame, *group: str) -> DataFrame:
     )
 
 
+def order_totals(orders: DataFrame, payment_totals: DataFrame, reviews: DataFrame) -> DataFrame:
+    """What items need to know of their order, for the paid orders: year, payments and, if any, reviews."""
+    known = orders.select(
+        "order_id",
+        F.year("order_purchase_timestamp").alias("year"),
+        F.when(F.col("customer_id").isNotNull(), 1).otherwise(0).alias("has_customer"),
+    )
+    return known.join(payment_totals, "order_id").join(reviews_per_order(reviews), "order_id", "left")
+
+
 def order_years(orders: DataFrame) -> DataFrame:
     return orders.select("order_id", F.year("order_purchase_timestamp").alias("year"))

@@ -7,6 +7,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feira.functions import exprs as X
 from feira.operators import conform, keys, rules
 
 if TYPE_CHECKING:
@@ -95,10 +96,11 @@ def extended_categories(dictionary: DataFrame) -> DataFrame:
 def clean_products(raw: RawTables) -> DataFrame:
     one_each = (
         extended_categories(raw.category_translation)
-        .groupBy(F.col("category_pt").alias("product_category_name"))
+        .groupBy(X.folded("category_pt").alias("__name"))
         .agg(F.min(F.struct("category_en", "main_categories")).alias("category"))
     )
-    return raw.products.join(one_each, "product_category_name", "left").select(
+    named = raw.products.withColumn("__name", X.folded("product_category_name"))
+    return named.join(one_each, "__name", "left").select(
         *raw.products.columns, "category.category_en", "category.main_categories"
     )
 
@@ -149,29 +151,32 @@ def audit_duplicate_items(t: CleanTables) -> DataFrame:
     return conform.duplicates(t.typed_items, ITEM_KEYS)
 
 
-def audit_duplicate_payments(t: CleanTables) -> DataFrame:
+def audit_duplicate_payments(t: CleanTables, payments: DataFrame | None = None) -> DataFrame:
     columns = ["order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"]
-    return conform.enrich(conform.duplicates(t.payments, columns), t.order_keys, "order_id", "order_id_values")
-
-
-def audit_duplicate_reviews(t: CleanTables) -> DataFrame:
-    """Equal rows have equal texts, so the digest of the long texts groups them as well."""
-    texts = ["review_comment_title", "review_comment_message", "review_english"]
-    plain = [
-        "review_id", "order_id", "review_score", "review_creation_date", "review_answer_timestamp",
-    ]
-    marked = t.english_reviews.select(
-        *plain, *texts, *[F.sha2(F.col(c), 256).alias(f"__{c}") for c in texts]
+    found = conform.duplicates(t.payments if payments is None else payments, columns)
+    return conform.enrich(found, t.order_keys, "order_id", "order_id_values")
+
+
+def audit_duplicate_reviews(t: CleanTables, reviews: DataFrame | None = None) -> DataFrame:
+    """Repeats are looked for among digests of whole rows; only the few found are read with their texts and translated."""
+    reviews = t.reviews if reviews is None else reviews
+    columns = reviews.columns
+    texts = ["review_comment_title", "review_comment_message"]
+    fields = [F.sha2(F.col(c), 256) if c in texts else F.col(c).cast("string") for c in columns]
+    # Each value with its length, and a mark for null: rows are equal if these texts are.
+    parts = [F.coalesce(F.concat(F.length(f).cast("string"), F.lit(":"), f), F.lit("-")) for f in fields]
+    marked = reviews.withColumn("__row", F.sha2(F.concat(*parts), 256))
+    found = marked.groupBy("__row").agg(F.count("*").alias("duplicate_count")).where("duplicate_count > 1")
+    again = marked.join(found, "__row").groupBy("__row").agg(
+        F.first("duplicate_count").alias("duplicate_count"), *[F.first(c).alias(c) for c in columns]
     )
-    groups = marked.groupBy(*plain, *[f"__{c}" for c in texts]).agg(
-        F.count("*").alias("duplicate_count"), *[F.min(c).alias(c) for c in texts]
-    )
-    found = groups.where("duplicate_count > 1").select(*plain, *texts, "duplicate_count")
-    return reviews_with_keys(t, found)
+    rows = t.translate(again.drop("__row"))
+    return reviews_with_keys(t, rows.select(*columns, "review_english", "duplicate_count"))
 
 
-def audit_duplicate_orders(t: CleanTables) -> DataFrame:
-    return conform.duplicates(t.orders, t.orders.columns, "duplicates")
+def audit_duplicate_orders(t: CleanTables, orders: DataFrame | None = None) -> DataFrame:
+    orders = t.orders if orders is None else orders
+    return conform.duplicates(orders, orders.columns, "duplicates")
 
 
 def audit_duplicate_categories(dictionary: DataFrame) -> DataFrame:
@@ -188,7 +193,7 @@ def audit_multi_seller_orders(t: CleanTables, more_than: int = 1) -> DataFrame:
 
 
 def audit_category_values(t: CleanTables) -> DataFrame:
-    return t.products.select("product_category_name", "category_en", "main_categories").distinct()
+    return X.group_folded(t.products, ["product_category_name", "category_en", "main_categories"])
 
 
 def audit_product_ids(t: CleanTables) -> DataFrame:
@@ -196,11 +201,8 @@ def audit_product_ids(t: CleanTables) -> DataFrame:
 
 
 def audit_city_variants(sellers: DataFrame, part: str = "ao paulo") -> DataFrame:
-    return (
-        sellers.where(F.lower("seller_city").contains(part.lower()))
-        .select("seller_city", "seller_state")
-        .distinct()
-    )
+    found = sellers.where(F.lower("seller_city").contains(part.lower()))
+    return X.group_folded(found, ["seller_city", "seller_state"])
 
 
 def audit_unmapped_categories(t: CleanTables) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feira.functions import exprs as X
 from feira.operators.conform import enrich
 from feira.plans.orders import YEARS
-from feira.plans.views import product_view
+from feira.plans.views import product_lifecycles
 from feira.tables import CleanTables
 
 # Our own choice of words; texts are English translations.
@@ -37,17 +37,14 @@ def top_seller_concentration(t: CleanTables, top: int = 15) -> DataFrame:
 
 
 def revenue_per_seller_by_city(t: CleanTables) -> DataFrame:
-    return (
-        _seller_gross(t)
-        .join(t.sellers.select("seller_id", "seller_city"), "seller_id")
-        .groupBy("seller_city")
-        .agg(F.count_distinct("seller_id").alias("total_sellers"), X.money(F.sum("revenue")).alias("revenue"))
-        .withColumn("revenue_per_seller", X.rounded_ratio("revenue", "total_sellers"))
-    )
+    rows = _seller_gross(t).join(t.sellers.select("seller_id", "seller_city"), "seller_id")
+    sums = [F.count_distinct("seller_id").alias("total_sellers"), X.money(F.sum("revenue")).alias("revenue")]
+    cities = X.group_folded(rows, ["seller_city"], *sums)
+    return cities.withColumn("revenue_per_seller", X.rounded_ratio("revenue", "total_sellers"))
 
 
 def lifecycle_share(t: CleanTables, years: Sequence[int] = YEARS) -> DataFrame:
-    counts = product_view(t, years).groupBy("product_lifecycle").agg(F.count("*").alias("total_products"))
+    counts = product_lifecycles(t, years).groupBy("product_lifecycle").agg(F.count("*").alias("total_products"))
     return counts.withColumn(
         "product_share", X.ratio("total_products", F.sum("total_products").over(Window.partitionBy()))
     )

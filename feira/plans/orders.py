@@ -77,12 +77,8 @@ def orders_per_seller(t: CleanTables) -> DataFrame:
 
 def _orders_per_place(t: CleanTables, place: str) -> DataFrame:
     """Counted per seller first, so that a big city is summed from few rows."""
-    return (
-        _item_rows_per_seller(t)
-        .join(t.sellers.select("seller_id", place), "seller_id")
-        .groupBy(place)
-        .agg(F.sum("total_orders").alias("total_orders"))
-    )
+    rows = _item_rows_per_seller(t).join(t.sellers.select("seller_id", place), "seller_id")
+    return X.group_folded(rows, [place], F.sum("total_orders").alias("total_orders"))
 
 
 def orders_per_city(t: CleanTables) -> DataFrame:

@@ -17,10 +17,12 @@ from feira.operators.per_order import items_per_order, order_years, payments_per
 from feira.plans.orders import PURCHASE, YEARS
 from feira.tables import CleanTables
 
+# --- Fixed values: the labels of the financial categories and the statuses of projected revenue ---
 BOOKED = "In Our Books"
 PROJECTED = "Projected Earnings"
 LOST = "Canceled / Unavailable"
 PROJECTED_STATUSES = ["approved", "created", "invoiced", "processing", "shipped"]
+# --- End of fixed values ---
 
 
 def _brl(*names: str) -> dict[str, Column]:
@@ -169,12 +171,15 @@ def cancelled_by_payment(t: CleanTables, status: str = "canceled", payment_type:
 
 
 def seller_payment_sums(t: CleanTables, years: Sequence[int] = YEARS) -> DataFrame:
-    """Payments counted once per item, per seller and year."""
+    """Payments counted once per item, per seller and year.
+
+    Items meet the stored totals of their orders as two plain shuffles, so an order whose items differ in
+    seller or product, and that therefore keeps many rows, can be split at run time. So do the jobs below.
+    """
     value = F.col("n_items") * F.col("paid")
     return (
         items_per_order(t.items, "seller_id")
-        .join(payments_per_order(t.payments), "order_id")
-        .join(order_years(t.orders), "order_id")
+        .join(t.order_totals.select("order_id", "year", "paid"), "order_id")
         .groupBy("seller_id")
         .agg(*_money_per_year(years, value), X.money(F.sum(value)).alias("total"))
     )
@@ -189,12 +194,8 @@ def revenue_per_seller(t: CleanTables, years: Sequence[int] = YEARS) -> DataFram
 
 def _revenue_per_place(t: CleanTables, place: str, years: Sequence[int]) -> DataFrame:
     names = _revenue_names(years)
-    sums = (
-        seller_payment_sums(t, years)
-        .join(t.sellers.select("seller_id", place), "seller_id")
-        .groupBy(place)
-        .agg(*[X.money(F.sum(n)).alias(n) for n in [*names, "total"]])
-    )
+    rows = seller_payment_sums(t, years).join(t.sellers.select("seller_id", place), "seller_id")
+    sums = X.group_folded(rows, [place], *[X.money(F.sum(n)).alias(n) for n in [*names, "total"]])
     return X.with_text(sums, _brl(*names))
 
 
@@ -207,28 +208,41 @@ def revenue_per_state(t: CleanTables, years: Sequence[int] = YEARS) -> DataFrame
 
 
 def lucrative_gap_cities(t: CleanTables, threshold: float = 100000) -> DataFrame:
-    """Per city: sellers, products and revenue, where revenue exceeds ``threshold``."""
+    """Per city: sellers, products and revenue, where revenue exceeds ``threshold``.
+
+    Sellers and products are counted apart, each from rows that are already one per city and seller or
+    product, over the same pairs of seller and product: no row is expanded for the second count, and Spark
+    reuses the pairs' shuffle.
+    """
     pairs = (
         items_per_order(t.items, "seller_id", "product_id")
-        .join(payments_per_order(t.payments), "order_id")
+        .join(t.payment_totals.select("order_id", "paid", "n_values"), "order_id")
         .groupBy("seller_id", "product_id")
         .agg(
             X.money(F.sum(F.col("n_items") * F.col("paid"))).alias("paid"),
             F.sum(F.col("n_items") * F.col("n_values")).alias("n_values"),
         )
     )
+    city = X.folded("seller_city").alias("city")
+    placed = pairs.join(t.sellers.select("seller_id", "seller_city", city), "seller_id")
+    sellers = placed.groupBy("city", "seller_id").agg(
+        F.min("seller_city").alias("seller_city"), F.sum("paid").alias("paid"), F.sum("n_values").alias("n_values")
+    )
     cities = (
-        pairs.join(t.sellers.select("seller_id", "seller_city"), "seller_id")
-        .groupBy("seller_city")
+        sellers.groupBy("city")
         .agg(
-            F.count_distinct("seller_id").alias("total_sellers"),
+            F.min("seller_city").alias("seller_city"),
+            F.count("seller_id").alias("total_sellers"),
             X.money(F.sum("paid")).alias("Revenue"),
-            F.count_distinct("product_id").alias("total_products"),
             X.rounded_ratio(F.sum("paid"), F.sum("n_values")).alias("avg_payment_value"),
         )
         .where(F.col("Revenue") > threshold)
     )
-    return X.with_text(cities, _brl("Revenue")).orderBy("total_sellers", "seller_city")
+    products = placed.groupBy("city", "product_id").agg(F.lit(1).alias("one"))
+    products = products.groupBy(F.col("city").alias("city_sold")).agg(F.count("product_id").alias("total_products"))
+    both = cities.join(products, F.col("city").eqNullSafe(F.col("city_sold")))
+    columns = both.select("seller_city", "total_sellers", "Revenue", "total_products", "avg_payment_value")
+    return X.with_text(columns, _brl("Revenue")).orderBy("total_sellers", "seller_city")
 
 
 def phased_out_products(
@@ -246,8 +260,7 @@ def phased_out_products(
     paid_in = {y: F.sum(F.when(F.col("year") == y, paid).otherwise(0)) for y in (years[0], years[-1])}
     sums = (
         items_per_order(items, "product_id")
-        .join(payments_per_order(t.payments), "order_id")
-        .join(order_years(t.orders), "order_id")
+        .join(t.order_totals.select("order_id", "year", "paid", "n_payments"), "order_id")
         .groupBy("product_id")
         .agg(
             F.sum(F.col("n_items") * F.col("n_payments")).alias("total_orders"),
@@ -290,8 +303,7 @@ def revenue_by_category(t: CleanTables, years: Sequence[int] = YEARS) -> DataFra
     gross = F.col("gross_sum") * F.col("n_payments")
     products = (
         items_per_order(t.items, "product_id")
-        .join(payments_per_order(t.payments), "order_id")
-        .join(order_years(t.orders), "order_id")
+        .join(t.order_totals.select("order_id", "year", "n_payments"), "order_id")
         .groupBy("product_id")
         .agg(*_money_per_year(years, gross))
     )
@@ -313,17 +325,12 @@ def seller_revenue_allocated(t: CleanTables) -> DataFrame:
     Orders whose items are all free are shared out by item count.
     """
     shares = items_per_order(t.items, "seller_id").select("order_id", "seller_id", "n_items", "gross_sum")
-    totals = shares.groupBy("order_id").agg(
-        F.sum("n_items").alias("order_items"), F.sum("gross_sum").alias("order_gross")
-    )
-    paid = payments_per_order(t.payments).select("order_id", "paid")
     by_value = F.col("order_gross") != 0
     weight = F.when(by_value, F.col("gross_sum")).otherwise(F.col("n_items")).cast("decimal(20,2)")
     whole = F.when(by_value, F.col("order_gross")).otherwise(F.col("order_items")).cast("decimal(20,2)")
     part = (F.col("paid").cast("decimal(17,2)") * weight / whole).cast("decimal(38,6)")
     return (
-        totals.join(paid, "order_id")
-        .join(shares, "order_id")
+        shares.join(t.paid_items, "order_id")
         .select("seller_id", part.alias("part"))
         .groupBy("seller_id")
         .agg(F.sum("part").cast("decimal(38,6)").alias("allocated_revenue"))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from feira.functions import exprs as X
 from feira.operators.conform import enrich
-from feira.operators.per_order import items_per_order, order_years, payments_per_order, reviews_per_order
+from feira.operators.per_order import items_per_order, order_years
 from feira.plans.orders import PURCHASE, YEARS
 from feira.sources.loaders import register_views
 from feira.tables import CleanTables
 
 
+# The labels below are fixed values.
 def _lifecycle(first: Column, middle: Column, last: Column) -> Column:
     """The label as first defined: the label for all three years can never be reached."""
     return (
@@ -36,22 +37,18 @@ def _lifecycle_corrected(first: Column, middle: Column, last: Column) -> Column:
     )
 
 
-def _product_sums(t: CleanTables, years: Sequence[int]) -> DataFrame:
-    """One row per product over items x payments x reviews, from per-order totals.
+def _product_sums(t: CleanTables, years: Sequence[int], products: DataFrame | None = None) -> DataFrame:
+    """One row per product over items x payments x reviews, from per-order totals; only of ``products`` if given.
 
     An item stands in the full join once per payment and review of its order, so every total is the
     item's own figure times those counts.
     """
     copies = F.col("n_payments") * F.col("n_reviews")
     sold = F.col("n_items") * copies
-    orders = t.orders.select(
-        "order_id", F.year(PURCHASE).alias("year"), X.flag(F.col("customer_id").isNotNull()).alias("has_customer")
-    )
+    items = t.items if products is None else t.items.join(products.select("product_id"), "product_id", "left_semi")
     return (
-        items_per_order(t.items, "product_id")
-        .join(payments_per_order(t.payments), "order_id")
-        .join(reviews_per_order(t.reviews), "order_id")
-        .join(orders, "order_id")
+        items_per_order(items, "product_id")
+        .join(t.order_totals.where("n_reviews IS NOT NULL"), "order_id")
         .groupBy("product_id")
         .agg(
             F.sum(sold).alias("total_quantity_sold"),
@@ -67,22 +64,29 @@ def _product_sums(t: CleanTables, years: Sequence[int]) -> DataFrame:
     )
 
 
-def _product_rows(t: CleanTables, years: Sequence[int], label) -> DataFrame:
+def _sold_products(t: CleanTables, years: Sequence[int], label, products: DataFrame | None = None) -> DataFrame:
     """``Revenue_<year>`` is the product's average price over all years if it sold in that year."""
     avg_price = X.rounded_ratio("price_sum", "n_prices").cast("decimal(18,2)")
     prices = [F.when(F.col(f"sold_{y}") == 1, F.col("avg_price")).otherwise(0) for y in years]
-    rows = (
-        _product_sums(t, years)
-        .join(t.products.select("product_id", "main_categories"), "product_id")
+    known = t.products if products is None else products
+    return (
+        _product_sums(t, years, products)
+        .join(known.select("product_id", "main_categories"), "product_id")
         .withColumn("avg_price", avg_price)
+        .withColumns({f"Revenue_{y}": p.cast("decimal(18,2)") for p, y in zip(prices, years)})
+        .withColumn("product_lifecycle", label(*[p > 0 for p in prices]))
     )
+
+
+def _product_rows(t: CleanTables, years: Sequence[int], products: DataFrame | None = None) -> DataFrame:
+    rows = _sold_products(t, years, _lifecycle, products)
     return enrich(rows, t.product_keys, "product_id", "product_id_values").select(
         "product_id_values",
         X.ratio("score_sum", "n_scores").alias("avg_review"),
         "main_categories",
         "total_quantity_sold",
-        *[p.cast("decimal(18,2)").alias(f"Revenue_{y}") for p, y in zip(prices, years)],
-        label(*[p > 0 for p in prices]).alias("product_lifecycle"),
+        *[f"Revenue_{y}" for y in years],
+        "product_lifecycle",
         "sellers_inolved",
         "transaction_value",
         "total_customers_bought",
@@ -90,34 +94,38 @@ def _product_rows(t: CleanTables, years: Sequence[int], label) -> DataFrame:
 
 
 def product_view(t: CleanTables, years: Sequence[int] = YEARS) -> DataFrame:
-    return _product_rows(t, years, _lifecycle)
+    return _product_rows(t, years)
+
+
+def product_lifecycles(t: CleanTables, years: Sequence[int] = YEARS) -> DataFrame:
+    """(product_id, product_lifecycle) as in the product view, without the labels and sums that takes."""
+    return _sold_products(t, years, _lifecycle).select("product_id", "product_lifecycle")
 
 
 def product_lifecycle_corrected(t: CleanTables, years: Sequence[int] = YEARS) -> DataFrame:
-    return _product_rows(t, years, _lifecycle_corrected).select("product_id_values", "product_lifecycle")
+    rows = _sold_products(t, years, _lifecycle_corrected)
+    rows = enrich(rows.select("product_id", "product_lifecycle"), t.product_keys, "product_id", "product_id_values")
+    return rows.select("product_id_values", "product_lifecycle")
 
 
 def audit_unmapped_products(t: CleanTables, years: Sequence[int] = YEARS) -> DataFrame:
-    return product_view(t, years).where(F.col("main_categories").isNull())
+    """The rows of the product view without a main category; items of other products go before anything is summed."""
+    return _product_rows(t, years, t.products.where(F.col("main_categories").isNull()))
 
 
 def _seller_years(t: CleanTables) -> DataFrame:
-    """Products, orders and revenue per seller and year, equal items of an order counted once."""
+    """Products, orders and revenue per seller and year, equal items of an order counted once.
+
+    Items are shuffled by order once, to meet its year; equal ones are merged where they then lie, and one
+    aggregate by seller and year follows.
+    """
     # Equal but for the shipping date counts as equal here, which covers what removing duplicates does.
-    lines = t.items_or_repeats.select("seller_id", "order_id", "product_id", "price", "freight_value").distinct()
-    per_order = lines.groupBy("order_id", "seller_id").agg(
+    items = t.items_or_repeats.select("seller_id", "order_id", "product_id", "price", "freight_value")
+    lines = items.join(order_years(t.orders), "order_id").distinct()
+    return lines.groupBy("seller_id", "year").agg(
         F.count("product_id").alias("n_products"),
         F.count("*").alias("n_orders"),
-        F.sum(F.col("price") + F.col("freight_value")).alias("revenue"),
-    )
-    return (
-        per_order.join(order_years(t.orders), "order_id")
-        .groupBy("seller_id", "year")
-        .agg(
-            F.sum("n_products").alias("n_products"),
-            F.sum("n_orders").alias("n_orders"),
-            X.money(F.sum("revenue")).alias("revenue"),
-        )
+        X.money(F.sum(F.col("price") + F.col("freight_value"))).alias("revenue"),
     )
 
 
@@ -191,7 +199,11 @@ def seller_view_corrected(t: CleanTables, years: Sequence[int] = YEARS) -> DataF
 
 
 def order_view(t: CleanTables) -> DataFrame:
-    """One row per order, seller, review score and item price, equal rows merged."""
+    """One row per order, seller, review score and item price, equal rows merged.
+
+    Year, status, customer and place follow from the ids, so rows are merged while they hold ids and figures
+    only, where the join by order has put them; labels come after.
+    """
     lines = (
         t.items.groupBy("order_id", "seller_id", "price", "freight_value")
         .agg(
@@ -200,22 +212,20 @@ def order_view(t: CleanTables) -> DataFrame:
         )
     )
     reviews = t.reviews.groupBy("order_id", "review_score").agg(F.count("*").alias("n_reviews"))
+    figures = [
+        (F.col("n_products") * F.col("n_reviews")).alias("products_ordered"),
+        X.money(F.col("gross") * F.col("n_reviews")).alias("Revenue"),
+    ]
+    rows = lines.join(reviews, "order_id").select("order_id", "seller_id", "review_score", *figures).distinct()
     # Customer and seller labels go on the one-row-per-id sides, so that the long side is shuffled by order and
     # by seller only. Every join by order has a plain shuffle on its right, which run-time splitting needs.
     orders = t.orders.select("order_id", "customer_id", "order_status", F.year(PURCHASE).alias("year"))
     orders = enrich(orders, t.customer_keys, "customer_id", "customer_id_values")
     sellers = enrich(t.sellers, t.seller_keys, "seller_id", "seller_id_values")
-    rows = enrich(lines.join(reviews, "order_id").join(orders, "order_id"), t.order_keys, "order_id", "order_id_values")
-    return (
-        rows.join(sellers, "seller_id")
-        .select(
-            "order_id_values",
-            (F.col("n_products") * F.col("n_reviews")).alias("products_ordered"),
-            X.money(F.col("gross") * F.col("n_reviews")).alias("Revenue"),
-            "seller_id_values", "seller_city", "seller_state", "review_score", "year", "order_status",
-            "customer_id_values",
-        )
-        .distinct()
+    rows = enrich(rows.join(orders, "order_id"), t.order_keys, "order_id", "order_id_values")
+    return rows.join(sellers, "seller_id").select(
+        "order_id_values", "products_ordered", "Revenue", "seller_id_values", "seller_city", "seller_state",
+        "review_score", "year", "order_status", "customer_id_values",
     )
 
 

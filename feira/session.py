@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+SHARED_MOUNT = "feira.sharedMount"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
@@ -42,24 +46,83 @@ def build_session(master: str = "local[*]", app: str = "feira", **conf: str) ->
     return configure(spark)
 
 
+def _on_one_machine(master: str) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
+def _is_local_path(path: str) -> bool:
+    return path.startswith("file:") or "://" not in path
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by ``spark.checkpoint.dir``."""
+    """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
+
+    Without that setting a temporary folder serves a driver that has no other machine, and nothing else. On a
+    cluster a local path is refused unless ``feira.sharedMount`` says that it is the same mount everywhere.
+    """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        if not context.master.startswith("local"):
+        if not _on_one_machine(context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="feira-")
         context.setCheckpointDir(root)
+    elif not context.master.startswith("local") and _is_local_path(root) and spark.conf.get(SHARED_MOUNT, "false") != "true":
+        raise ValueError(f"{root} is a local path: executors on other machines cannot see it")
     return f"{root.rstrip('/')}/feira-{context.applicationId}"
 
 
+class Intermediates:
+    """The tables written by ``write_and_read`` inside a ``with`` block; they are removed when it ends.
+
+    >>> with Intermediates(spark):
+    ...     revenue.revenue_per_seller(tables).write.parquet(out)
+
+    Results must be written or collected within the block. After a failure, too, what the block wrote is
+    removed, and nothing else; its folder goes with it if nobody else has put a file there. Blocks
+    may be nested: a table belongs to the innermost one of the thread that writes it.
+    """
+
+    _open = threading.local()
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", []
+
+    @classmethod
+    def current(cls) -> Intermediates | None:
+        stack = getattr(cls._open, "stack", [])
+        return stack[-1] if stack else None
+
+    def __enter__(self) -> Intermediates:
+        if not hasattr(self._open, "stack"):
+            self._open.stack = []
+        self._open.stack.append(self)
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self._open.stack.remove(self)
+        self.release()
+
+    def release(self) -> None:
+        """Remove the tables through the file system that holds them."""
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        while self.paths:
+            files.delete(jvm.org.apache.hadoop.fs.Path(self.paths.pop()), True)
+        folder = jvm.org.apache.hadoop.fs.Path(self.folder)
+        if files.exists(folder) and not files.listStatus(folder):
+            files.delete(folder, False)
+
+
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
-    Cuts the lineage with a table that outlives any executor, and gives later joins true sizes.
+    Cuts the lineage with a table that outlives any executor, and gives later joins true sizes. Within an
+    ``Intermediates`` block the table is removed at its end, otherwise it stays.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark, owner = df.sparkSession, Intermediates.current()
+    path = f"{owner.folder if owner else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if owner:
+        owner.paths.append(path)  # first, so that a half-written table goes as well
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

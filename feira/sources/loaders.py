@@ -36,9 +36,9 @@ def read_csv(
     )
 
 
-def read_headerless_csv(spark: SparkSession, path: str, fields: StructType) -> DataFrame:
-    """A file without column names: its first line is a row like any other."""
-    return read_csv(spark, path, fields, header=False)
+def read_headerless_csv(spark: SparkSession, path: str, fields: StructType, multi_line: bool = True) -> DataFrame:
+    """A file without column names: its first line is a row like any other. Files are split without ``multi_line``."""
+    return read_csv(spark, path, fields, header=False, multi_line=multi_line)
 
 
 def load_tables(
@@ -56,7 +56,8 @@ def load_tables(
 
 
 def save(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    writer = df.write.mode("overwrite")
+    """Write ``df``; with ``partition_by`` in a folder for each value, its rows dealt out by it first."""
+    writer = (df.hint("rebalance", partition_by) if partition_by else df).write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 

@@ -7,6 +7,8 @@ Every table comes from one scan of its whole input.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ ENGLISH_NAMES = [name for _, names, _ in CATEGORY_CLASSES for name in names] + [
     "books_general_interest", "health & beauty", "FASHION_X", "Toys", None,
 ]
 
-# Misspelt (city, state) pairs handed to every third seller in turn.
+# Misspelt (city, state) pairs, at least one for each correction, handed to two sellers of three in turn.
 DIRTY_CITIES = [
     ("sao paulo", "SP"),
     ("sao paulo", "RJ"),
@@ -56,6 +58,41 @@ DIRTY_CITIES = [
     ("balneario camboriu", "SC"),
     ("sao bernardo do capo", "SP"),
     (None, "SP"),
+    ("vila sao paulo", "SP"),
+    ("angra dos reis rj", "RJ"),
+    ("arraial d'ajuda (porto seguro)", "BA"),
+    ("minas gerais - mg", "MG"),
+    ("Auriflama/SP", "sp"),
+    ("andradas", "SP"),
+    ("ao bernardo do campo", "RJ"),
+    ("BRASILIA df", "DF"),
+    ("cariacica / es", "ES"),
+    ("caxias do sul, brasil", "SC"),
+    ("chapeco sc", "RS"),
+    ("curitiba - pr", "SP"),
+    ("ferraz de  vasconcelos sp", "SP"),
+    ("itajai", "sc "),
+    ("jaguariuna", "MG"),
+    ("Jacutinga", "SP"),
+    ("juiz de fora", "RJ"),
+    ("lages - sc", "SC"),
+    ("londrina", "SP"),
+    ("marechal candido rondon", "SC"),
+    ("novo hamburgo, rio grande do sul, brasil", "RS"),
+    ("palhoca", "SP"),
+    ("pinhalzinho", "SP"),
+    ("porto alegre", "SP"),
+    ("ribeirao pretp", "SP"),
+    ("rio bonito", "SP"),
+    ("santa barbara d oeste", "SP"),
+    ("santa barbara d'oeste ", "SP"),
+    ("sao jose do rio pret", "SP"),
+    ("sao jose dos pinhas", "SP"),
+    ("sao miguel d'oeste", "SC"),
+    ("sao paulop", "SP"),
+    ("VOLTA REDONDA ", "rj"),
+    ("Volta Redonda", "RJ "),
+    ("sp / sp", "SP"),
 ]
 
 
@@ -160,13 +197,17 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
         .selectExpr(
             "*",
             f"{_moved(97)} AS payer",
+        )
+        .selectExpr("*", f"{_padded('payer', 10)} AS payer_id")  # once per order, before its payments are listed
+        .selectExpr(
+            "*",
             "explode(CASE WHEN k % 8 = 0 THEN array(1, 2) ELSE array(1) END) AS own",
         )
         .selectExpr(
-            f"{_padded('payer', 10)} AS order_id",
+            "payer_id AS order_id",
             "own + CASE WHEN payer = k THEN 0 WHEN payer % 8 = 0 THEN 2 ELSE 1 END AS payment_sequential",
             "CASE WHEN own = 2 THEN 'voucher' WHEN k % 10 < 7 THEN 'credit_card'"
-            " WHEN k % 10 < 9 THEN 'boleto' ELSE 'debit_card' END AS payment_type",
+            " WHEN k % 20 = 7 THEN 'Boleto ' WHEN k % 10 < 9 THEN 'boleto' ELSE 'debit_card' END AS payment_type",
             "CAST(CASE WHEN own = 2 THEN 1 ELSE k % 12 + 1 END AS INT) AS payment_installments",
             "CASE WHEN own = 2 THEN 50D ELSE total END AS payment_value",
         )
@@ -174,7 +215,10 @@ def payments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """A review with its document's text for every order; that of every 29th order is its neighbour's second one."""
+    """A review with its document's text for every order; that of every 29th order is its neighbour's second one.
+
+    Some messages are in capitals or end in blanks, unlike the texts in the translation table.
+    """
     # One text per document id; grouping tells Spark the id is unique, so that it drops the join
     # from every query that does not read the text.
     texts = _read(spark, folder, "documents").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -190,7 +234,8 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
             f"IF(kind = 'r', {_padded(f'({_moved(29)})', 10)}, order_id) AS order_id",
             "CAST(IF(kind = 's', 1, 1 + (k * 13) % 5) AS INT) AS review_score",
             "CAST(NULL AS STRING) AS review_comment_title",
-            "IF(kind = 'r', text, NULL) AS review_comment_message",
+            f"CASE WHEN kind <> 'r' THEN NULL WHEN k % 31 = 0 THEN translate(text, '{ascii_lowercase}', '{ascii_uppercase}')"
+            " WHEN k % 37 = 0 THEN text || '  ' ELSE text END AS review_comment_message",
             "order_purchase_timestamp + INTERVAL '1' DAY * IF(kind = 'r', 30, 0) AS review_creation_date",
             "order_purchase_timestamp + INTERVAL '1' DAY * IF(kind = 'r', 30 + k % 7, 0) AS review_answer_timestamp",
         )
@@ -198,17 +243,21 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
-    variants = _read(spark, folder, "part").selectExpr("*", "explode(sequence(0, 9)) AS variant")
+    """Ten variants of a part; the category of two of them is spelt differently."""
+    parts = _read(spark, folder, "part").selectExpr(
+        "p_partkey", "CASE WHEN p_partkey % 9 = 0 THEN 'AUTO' WHEN p_partkey % 11 = 0 THEN 'PERF' ELSE p_type END AS name"
+    )
+    variants = parts.selectExpr("*", "explode(sequence(0, 9)) AS variant")
     return variants.selectExpr(
         f"{_padded('p_partkey', 8)} || '-' || variant AS product_id",
-        "CASE WHEN p_partkey % 9 = 0 THEN 'AUTO' WHEN p_partkey % 11 = 0 THEN 'PERF' ELSE p_type END"
-        " AS product_category_name",
+        "CASE variant WHEN 3 THEN lower(name) WHEN 7 THEN name || ' ' ELSE name END AS product_category_name",
     )
 
 
 def sellers(spark: SparkSession, folder: str) -> DataFrame:
     dirty = F.array(*[F.struct(F.lit(c).cast("string").alias("city"), F.lit(s).alias("state")) for c, s in DIRTY_CITIES])
-    pick = F.when(F.col("s_suppkey") % 3 == 0, F.get(dirty, F.expr("CAST(s_suppkey div 3 % 24 AS INT)")))
+    place = F.expr(f"CAST((s_suppkey - s_suppkey div 3 - 1) % {len(DIRTY_CITIES)} AS INT)")
+    pick = F.when(F.col("s_suppkey") % 3 != 0, F.get(dirty, place))
     supplier, nation, region = (_read(spark, folder, n) for n in ("supplier", "nation", "region"))
     return (
         supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -216,9 +265,11 @@ def sellers(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("dirty", pick)
         .selectExpr(
             f"{_padded('s_suppkey', 6)} AS seller_id",
-            "CASE WHEN s_suppkey % 3 = 0 THEN dirty.city WHEN s_suppkey % 7 = 0 THEN lower(n_name) || ' - xx'"
+            "CASE WHEN s_suppkey % 3 <> 0 THEN dirty.city WHEN s_suppkey % 4 = 0 THEN lower(n_name) || ' - xx'"
+            " WHEN s_suppkey % 4 = 1 THEN upper(n_name) WHEN s_suppkey % 4 = 2 THEN lower(n_name) || '  '"
             " ELSE lower(n_name) END AS seller_city",
-            "CASE WHEN s_suppkey % 3 = 0 THEN dirty.state ELSE r_name END AS seller_state",
+            "CASE WHEN s_suppkey % 3 <> 0 THEN dirty.state WHEN s_suppkey % 2 = 0 THEN lower(r_name) || ' '"
+            " ELSE r_name END AS seller_state",
         )
     )
 
@@ -258,6 +309,12 @@ def category_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     return used.join(literal_rows(spark, CATEGORY_NAMES, CATEGORY_TRANSLATION), "category_pt")
 
 
+def with_repeats(df: DataFrame, where: str) -> DataFrame:
+    """``df`` with every row that meets the condition twice."""
+    times = F.when(F.expr(where), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return df.withColumn("copy", F.explode(times)).drop("copy")
+
+
 def with_empty_rows(df: DataFrame, where: str) -> DataFrame:
     """``df`` plus a row of NULLs for every row that meets the condition."""
     copies = df.withColumn("copy", F.explode(F.when(F.expr(where), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from oracles.tables import main_category, with_tables
-from oracles.text import big, brl, cents, dbl, half_up, n0, pct, rounded
+from oracles.text import big, brl, cents, dbl, folded, half_up, n0, pct, rounded
 
 Y = (1996, 1997, 1998)
+GAP = 130_000_000  # revenue that many cities miss at sf0.01
 DAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 
@@ -109,22 +110,25 @@ def cleaning():
         ),
         "dup_audit_payments": q(
             """SELECT g.*, order_id_values FROM g LEFT JOIN k_order USING (order_id)""",
-            f"""g AS (SELECT {pay}, count(*) AS duplicate_count FROM c_payments
-            GROUP BY ALL HAVING count(*) > 1)""",
+            f"""twice AS (SELECT * FROM c_payments UNION ALL SELECT * FROM c_payments WHERE payment_sequential = 2),
+            g AS (SELECT {pay}, count(*) AS duplicate_count FROM twice GROUP BY ALL HAVING count(*) > 1)""",
         ),
         "dup_audit_reviews": q(
             """SELECT g.*, review_id_values, order_id_values FROM g LEFT JOIN k_review USING (review_id)
             LEFT JOIN k_order USING (order_id)""",
-            f"""g AS (SELECT review_id, order_id, {big('review_score')} AS review_score, {review_dates}, {no_title},
-            review_comment_message, review_english, count(*) AS duplicate_count FROM c_reviews
+            f"""twice AS (SELECT * FROM c_reviews UNION ALL SELECT * FROM c_reviews WHERE review_score = 2),
+            g AS (SELECT review_id, order_id, {big('review_score')} AS review_score, {review_dates}, {no_title},
+            review_comment_message, review_english, count(*) AS duplicate_count FROM twice
             GROUP BY ALL HAVING count(*) > 1)""",
         ),
         "dup_audit_orders": q(
             f"""SELECT order_id, customer_id, order_status, {stamps.format('')}, {dates}, count(*) AS duplicates
-            FROM c_orders GROUP BY ALL HAVING count(*) > 1"""
+            FROM (SELECT * FROM c_orders UNION ALL SELECT * FROM c_orders WHERE order_status = 'canceled')
+            GROUP BY ALL HAVING count(*) > 1"""
         ),
         "dup_audit_categories": q(
-            """SELECT category_pt, category_en, main_categories, count(*) AS duplicates FROM used
+            """SELECT category_pt, category_en, main_categories, count(*) AS duplicates
+            FROM (SELECT * FROM used UNION ALL SELECT * FROM used WHERE category_en IN ('auto', 'toys'))
             GROUP BY ALL HAVING count(*) > 1""",
             f"""used AS (SELECT category_pt, category_en, {main_category('category_en')} AS main_categories FROM names
             WHERE category_pt IN (SELECT product_category_name FROM raw_products))""",
@@ -146,10 +150,15 @@ def cleaning():
             """SELECT order_id_values, count(DISTINCT seller_id) AS seller_count
             FROM c_items JOIN k_order USING (order_id) GROUP BY ALL HAVING count(DISTINCT seller_id) > 1"""
         ),
-        "audit_category_values": q("SELECT DISTINCT product_category_name, category_en, main_categories FROM c_products"),
+        "audit_category_values": q(
+            f"""SELECT min(product_category_name) AS product_category_name, min(category_en) AS category_en,
+            min(main_categories) AS main_categories FROM c_products
+            GROUP BY {folded('product_category_name')}, {folded('category_en')}, {folded('main_categories')}"""
+        ),
         "audit_product_ids": q("SELECT DISTINCT product_id FROM c_products"),
         "audit_city_variants": q(
-            "SELECT DISTINCT seller_city, seller_state FROM raw_sellers WHERE seller_city ILIKE '%ao paulo%'"
+            f"""SELECT min(seller_city) AS seller_city, min(seller_state) AS seller_state FROM raw_sellers
+            WHERE seller_city ILIKE '%ao paulo%' GROUP BY {folded('seller_city')}, {folded('seller_state')}"""
         ),
         "audit_unmapped_categories": q("SELECT * FROM c_products WHERE main_categories IS NULL"),
     }
@@ -159,7 +168,8 @@ def cleaning():
 def orders():
     late = f"""count(*) FILTER (arrived > {{due}}) AS late_deliveries,
             count(*) FILTER (arrived < {{due}}) AS on_time_deliveries"""
-    place = """SELECT {0}, count(order_id) AS total_orders FROM c_items JOIN c_sellers USING (seller_id) GROUP BY {0}"""
+    place = """SELECT min({0}) AS {0}, count(order_id) AS total_orders FROM c_items JOIN c_sellers USING (seller_id)
+        GROUP BY lower(rtrim({0}, ' '))"""
     weekdays = ", ".join(f"count(*) FILTER (dayname(bought) = '{d}') AS total_orders_{d}" for d in DAYS)
     return {
         "orders_per_year": q("SELECT year(bought) AS year, count(DISTINCT order_id) AS total_orders FROM c_orders GROUP BY 1"),
@@ -286,9 +296,9 @@ def revenue():
     def per_place(column, source):
         return q(
             f"SELECT {column}, {texts(years('Revenue'), brl)} FROM g",
-            f"""g AS (SELECT {column}, {by_year('payment_value', 'Revenue', wrap=as_is)}
+            f"""g AS (SELECT min({column}) AS {column}, {by_year('payment_value', 'Revenue', wrap=as_is)}
             FROM c_payments JOIN c_items USING (order_id) JOIN c_orders USING (order_id)
-            JOIN {source} USING (seller_id) GROUP BY 1)""",
+            JOIN {source} USING (seller_id) GROUP BY {folded(column)})""",
         )
 
     gross = """g AS (SELECT product_id_values, count(*) AS total_orders,
@@ -359,10 +369,11 @@ def revenue():
         "revenue_per_state": per_place("seller_state", "c_sellers"),
         "lucrative_gap_cities": q(
             f"""SELECT seller_city, total_sellers, {brl('v')} AS Revenue, {dbl('v')} AS Revenue_num, total_products,
-            {rounded(cents('v'), 'n * 100')} AS avg_payment_value FROM g WHERE v > 100000""",
-            """g AS (SELECT seller_city, count(DISTINCT seller_id) AS total_sellers, sum(payment_value) AS v,
+            {rounded(cents('v'), 'n * 100')} AS avg_payment_value FROM g WHERE v > {GAP}""",
+            f"""g AS (SELECT min(seller_city) AS seller_city, count(DISTINCT seller_id) AS total_sellers, sum(payment_value) AS v,
             count(DISTINCT product_id) AS total_products, count(payment_value) AS n
-            FROM c_sellers JOIN c_items USING (seller_id) JOIN c_payments USING (order_id) GROUP BY 1)""",
+            FROM c_sellers JOIN c_items USING (seller_id) JOIN c_payments USING (order_id)
+            GROUP BY {folded('seller_city')})""",
         ),
         "phased_out_products": q(gross_out, gross),
         "phased_out_one_product": q(f"{gross_out} WHERE product_id_values = 'P00010'", gross),
@@ -506,7 +517,8 @@ def derived():
         ),
         "revenue_per_seller_by_city": q(
             f"""SELECT seller_city, n AS total_sellers, {dbl('v')} AS revenue, {rounded(cents('v'), 'n * 100')} AS revenue_per_seller
-            FROM (SELECT seller_city, count(*) AS n, sum(v) AS v FROM s JOIN c_sellers USING (seller_id) GROUP BY 1)""",
+            FROM (SELECT min(seller_city) AS seller_city, count(*) AS n, sum(v) AS v FROM s JOIN c_sellers USING (seller_id)
+                  GROUP BY {folded('seller_city')})""",
             gross,
         ),
         "cancelled_payment_mix": q(
@@ -529,4 +541,5 @@ def derived():
 
 
 def all_oracles() -> dict[str, str]:
-    return cleaning() | orders() | reviews() | revenue() | customers() | views() | derived()
+    by_sql = {f"sql_{name}": views()[name] for name in ("product_view", "seller_view", "seller_view_clean", "order_view")}
+    return by_sql | cleaning() | orders() | reviews() | revenue() | customers() | views() | derived()

@@ -1,8 +1,9 @@
 """The raw and clean marketplace tables as common table expressions over the test tables."""
 
-from feira.operators.rules import CATEGORY_CLASSES, CITY_RULES, EXTRA_CATEGORIES, EXTRA_SELLER, OTHER_CATEGORY
+from feira.operators.rules import CATEGORY_CLASSES, EXTRA_CATEGORIES, EXTRA_SELLER, OTHER_CATEGORY
 from feira.sources.sample import CATEGORY_NAMES, DIRTY_CITIES, ENGLISH_NAMES
-from oracles.text import quoted
+from oracles.cities import UPDATES
+from oracles.text import folded, quoted
 
 
 def values(rows, alias):
@@ -54,7 +55,8 @@ settled AS (
   FROM paid),
 raw_payments AS (
   SELECT payer_id AS order_id, CAST(ahead + 1 AS BIGINT) AS payment_sequential,
-         CASE WHEN k % 10 < 7 THEN 'credit_card' WHEN k % 10 < 9 THEN 'boleto' ELSE 'debit_card' END AS payment_type,
+         CASE WHEN k % 10 < 7 THEN 'credit_card' WHEN k % 20 = 7 THEN 'Boleto '
+              WHEN k % 10 < 9 THEN 'boleto' ELSE 'debit_card' END AS payment_type,
          k % 12 + 1 AS payment_installments, total AS payment_value
   FROM settled
   UNION ALL
@@ -63,24 +65,30 @@ texts AS (SELECT doc_id, min(text) AS text FROM documents GROUP BY doc_id),
 raw_reviews AS (
   SELECT 'r' || order_id AS review_id,
          CASE WHEN k % 29 = 0 THEN printf('%010d', greatest(k - 1, 1 - k)) ELSE order_id END AS order_id,
-         1 + (k * 13) % 5 AS review_score, text AS review_comment_message,
+         1 + (k * 13) % 5 AS review_score,
+         CASE WHEN k % 31 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
+              WHEN k % 37 = 0 THEN text || '  ' ELSE text END AS review_comment_message,
          bought + INTERVAL 30 DAY AS created, bought + INTERVAL 1 DAY * (30 + k % 7) AS answered
   FROM base LEFT JOIN texts ON doc_id = k
   UNION ALL
   SELECT 's' || order_id, order_id, 1, NULL, bought, bought FROM base WHERE k % 53 = 0),
+named_parts AS (
+  SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'AUTO' WHEN p_partkey % 11 = 0 THEN 'PERF' ELSE p_type END AS name
+  FROM part),
 raw_products AS (
   SELECT printf('%08d-%d', p_partkey, n) AS product_id,
-         CASE WHEN p_partkey % 9 = 0 THEN 'AUTO' WHEN p_partkey % 11 = 0 THEN 'PERF' ELSE p_type END
-           AS product_category_name
-  FROM part, range(10) AS r(n)),
+         CASE n WHEN 3 THEN lower(name) WHEN 7 THEN name || ' ' ELSE name END AS product_category_name
+  FROM named_parts, range(10) AS r(n)),
 dirty AS (SELECT * FROM {values([(str(i), c, s) for i, (c, s) in enumerate(DIRTY_CITIES)], "d(pos, city, state)")}),
 raw_sellers AS (
   SELECT printf('%06d', s_suppkey) AS seller_id,
-         CASE WHEN s_suppkey % 3 = 0 THEN city WHEN s_suppkey % 7 = 0 THEN lower(n_name) || ' - xx'
+         CASE WHEN s_suppkey % 3 <> 0 THEN city WHEN s_suppkey % 4 = 0 THEN lower(n_name) || ' - xx'
+              WHEN s_suppkey % 4 = 1 THEN upper(n_name) WHEN s_suppkey % 4 = 2 THEN lower(n_name) || '  '
               ELSE lower(n_name) END AS seller_city,
-         CASE WHEN s_suppkey % 3 = 0 THEN state ELSE r_name END AS seller_state
+         CASE WHEN s_suppkey % 3 <> 0 THEN state WHEN s_suppkey % 2 = 0 THEN lower(r_name) || ' '
+              ELSE r_name END AS seller_state
   FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
-  LEFT JOIN dirty ON pos = CAST((s_suppkey // 3) % {len(DIRTY_CITIES)} AS VARCHAR)),
+  LEFT JOIN dirty ON pos = CAST((s_suppkey - s_suppkey // 3 - 1) % {len(DIRTY_CITIES)} AS VARCHAR)),
 names AS (SELECT * FROM {values(CATEGORY_NAMES, "c(category_pt, category_en)")}),
 translation AS (
   SELECT text AS column1,
@@ -102,25 +110,14 @@ def main_category(name):
     return f"CASE {' '.join(arms)} ELSE {quoted(OTHER_CATEGORY)} END"
 
 
-def _city_test(rule):
-    shapes = {"has": "ILIKE '%{}%'", "ends": "ILIKE '%{}'", "is": None}
-    tests = []
-    for m in rule.any_of:
-        text = m.text.replace("'", "''")
-        shape = shapes[m.how]
-        test = f"seller_city {shape.format(text)}" if shape else f"lower(rtrim(seller_city)) = lower('{text}')"
-        tests.append(f"({test} AND lower(seller_state) = lower('{m.state}'))" if m.state else test)
-    return " OR ".join(tests)
-
-
 def city_steps():
     """One update per step, each on the result of the one before."""
     steps, source = [], "raw_sellers"
-    for i, rule in enumerate(CITY_RULES):
-        test = _city_test(rule)
-        city = f"CASE WHEN {test} THEN {quoted(rule.city)} ELSE seller_city END" if rule.city else "seller_city"
-        state = f"CASE WHEN {test} THEN {quoted(rule.state)} ELSE seller_state END" if rule.state else "seller_state"
-        steps.append(f"city_{i} AS (SELECT seller_id, {city} AS seller_city, {state} AS seller_state FROM {source})")
+    for i, (test, new_city, new_state) in enumerate(UPDATES):
+        city = f"CASE WHEN {test} THEN {quoted(new_city)} ELSE seller_city END" if new_city else "seller_city"
+        state = f"CASE WHEN {test} THEN {quoted(new_state)} ELSE seller_state END" if new_state else "seller_state"
+        keys = f"SELECT *, {folded('seller_city')} AS ct, {folded('seller_state')} AS st FROM {source}"
+        steps.append(f"city_{i} AS (SELECT seller_id, {city} AS seller_city, {state} AS seller_state FROM ({keys}))")
         source = f"city_{i}"
     steps.append(
         f"c_sellers AS (SELECT * FROM {source} UNION ALL"
@@ -145,20 +142,20 @@ c_items AS (
                              ORDER BY order_item_id) = 1),
 c_payments AS (
   SELECT order_id, payment_sequential, payment_type AS payment_type_raw,
-         CASE payment_type WHEN 'boleto' THEN 'voucher' ELSE payment_type END AS payment_type,
+         CASE WHEN {folded('payment_type')} = 'boleto' THEN 'voucher' ELSE payment_type END AS payment_type,
          payment_installments, CAST(round(payment_value, 2) AS DECIMAL(18,2)) AS payment_value
   FROM raw_payments),
-english AS (SELECT column1, min(column2) AS review_english FROM translation GROUP BY column1),
+english AS (SELECT {folded('column1')} AS said, min(column2) AS review_english FROM translation GROUP BY 1),
 c_reviews AS (
   SELECT review_id, order_id, review_score, review_comment_message, CAST(created AS DATE) AS created,
          CAST(answered AS DATE) AS answered, review_english
-  FROM raw_reviews LEFT JOIN english ON column1 = review_comment_message),
+  FROM raw_reviews LEFT JOIN english ON said = {folded('review_comment_message')}),
 dictionary AS (
   SELECT category_pt, category_en, {main_category("category_en")} AS main_categories FROM names
   UNION ALL SELECT * FROM {values(EXTRA_CATEGORIES, "x")}),
 c_products AS (
   SELECT product_id, product_category_name, category_en, main_categories
-  FROM raw_products LEFT JOIN dictionary ON category_pt = product_category_name),
+  FROM raw_products LEFT JOIN dictionary ON {folded('category_pt')} = {folded('product_category_name')}),
 k_order AS (
   SELECT order_id, printf('A%05d', row_number() OVER (ORDER BY order_id NULLS FIRST)) AS order_id_values
   FROM (SELECT order_id FROM raw_orders UNION SELECT order_id FROM raw_items

@@ -41,5 +41,10 @@ def pct(part, whole, digits, point):
     return f"CAST({scaled} // {base} AS VARCHAR) || '{point}' || lpad(CAST({scaled} % {base} AS VARCHAR), {digits}, '0')"
 
 
+def folded(x):
+    """What texts are compared and grouped by: case and trailing blanks don't count."""
+    return f"lower(rtrim({x}, ' '))"
+
+
 def quoted(value):
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"

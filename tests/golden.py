@@ -109,3 +109,49 @@ CITIES = [
     (("centro de sao paulo", "SP"), ("são paulo", "SP")),
     (("sao paulo - sp", "SP"), ("são paulo", "SP")),
 ]
+
+# One pair for each correction, in the order of the corrections, that comes out differently without it.
+ONE_EACH = [
+    (("vila sao paulo", "SP"), ("são paulo", "SP")),
+    (("angra dos reis rj", "RJ"), ("angra dos reis", "RJ")),
+    (("arraial d'ajuda (porto seguro)", "BA"), ("porto seguro", "BA")),
+    (("minas gerais - mg", "MG"), ("minas gerais", "MG")),
+    (("Auriflama/SP", "sp"), ("auriflama", "sp")),
+    (("aguas claras df", "SP"), ("aguas claras", "DF")),
+    (("andradas", "SP"), ("andradas", "MG")),
+    (("ao bernardo do campo", "RJ"), ("São Bernardo do Campo", "SP")),
+    (("balneario camboriu", "SC"), ("Balneário Camboriú", "SC")),
+    (("belo horizont", "SP"), ("Belo Horizonte", "MG")),
+    (("BRASILIA df", "DF"), ("Brasilia", "DF")),
+    (("cariacica / es", "ES"), ("cariacica", "ES")),
+    (("caxias do sul, brasil", "SC"), ("caxias do sul", "RS")),
+    (("chapeco sc", "RS"), ("chapeco", "SC")),
+    (("curitiba - pr", "SP"), ("curitiba", "PR")),
+    (("ferraz de  vasconcelos sp", "SP"), ("ferraz de  vasconcelos", "SP")),
+    (("ipira", "BA"), ("ipira", "SC")),
+    (("itajai", "sc "), ("itajai", "SC")),
+    (("jaguariuna", "MG"), ("jaguariuna", "SP")),
+    (("Jacutinga", "SP"), ("Jacutinga", "MG")),
+    (("juiz de fora", "RJ"), ("juiz de fora", "MG")),
+    (("lages - sc", "SC"), ("lages", "SC")),
+    (("londrina", "SP"), ("londrina", "PR")),
+    (("marechal candido rondon", "SC"), ("marechal candido rondon", "PR")),
+    (("mogi das cruses", "SP"), ("mogi das cruzes", "SP")),
+    (("novo hamburgo, rio grande do sul, brasil", "RS"), ("novo hamburgo", "RS")),
+    (("palhoca", "SP"), ("palhoca", "SC")),
+    (("pinhalzinho", "SP"), ("pinhalzinho", "SC")),
+    (("porto alegre", "SP"), ("porto alegre", "RS")),
+    (("ribeirao pretp", "SP"), ("ribeirao preto", "SP")),
+    (("rio bonito", "SP"), ("rio bonito", "RJ")),
+    (("rio de janeiro", "SP"), ("rio de janeiro", "RJ")),
+    (("RIO DE JANEIRO, brasil", "RJ"), ("rio de janeiro", "RJ")),
+    (("s jose do rio preto", "MG"), ("São José do Rio Preto", "MG")),
+    (("santa barbara d oeste", "SP"), ("Santa Bárbara d'Oeste", "SP")),
+    (("sao jose do rio pret", "SP"), ("sao jose do rio preto", "SP")),
+    (("sao jose dos pinhas", "SP"), ("São José dos Pinhais", "PR")),
+    (("sao miguel d'oeste", "SC"), ("sao miguel do oeste", "SC")),
+    (("sao paulop", "SP"), ("são paulo", "SP")),
+    (("sbc", "SP"), ("São Bernardo do Campo", "SP")),
+    (("sp / sp", "SP"), ("são paulo", "SP")),
+    (("volta redonda", "SP"), ("volta redonda", "RJ")),
+]

@@ -1,12 +1,14 @@
-from functools import reduce
-
+import duckdb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from feira.operators import rules
 from feira.plans import cleaning
 from feira.schema import CATEGORY_TRANSLATION
-from tests.golden import CATEGORIES, CITIES
+from oracles.cities import UPDATES
+from oracles.tables import city_steps
+from oracles.text import quoted
+from tests.golden import CATEGORIES, CITIES, ONE_EACH
 
 
 def test_every_category_gets_its_class(spark):
@@ -40,29 +42,45 @@ def test_cities_worked_out_by_hand(spark):
     assert corrected(spark, [before for before, _ in CITIES]) == [after for _, after in CITIES]
 
 
-def one_update(place, rule):
-    city, state = place
-    if city is None:
-        return place
-    looks = {
-        "has": lambda text: text in city.lower(),
-        "ends": lambda text: city.lower().endswith(text),
-        "is": lambda text: city.lower().rstrip(" ") == text,
-    }
-    for how, text, needed in rule.any_of:
-        if looks[how](text.lower()) and (needed is None or (state or "").lower() == needed.lower()):
-            return (rule.city or city, rule.state or state)
-    return place
+def test_one_pair_for_each_correction(spark):
+    assert corrected(spark, [before for before, _ in ONE_EACH]) == [after for _, after in ONE_EACH]
+
+
+def test_no_correction_can_be_left_out_or_changed_unnoticed(spark):
+    """Without a correction, or with another result, its own pair comes out wrong."""
+    assert len(ONE_EACH) == len(rules.CITY_RULES)
+    pairs = [(i, *before) for i, (before, _) in enumerate(ONE_EACH)]
+    df = spark.createDataFrame(pairs, "n int, city string, state string")
+    changed = []
+    for i, rule in enumerate(rules.CITY_RULES):
+        other = rule._replace(city=rule.city and rule.city + "x", state=rule.state and rule.state + "x")
+        for swapped in ([], [other]):
+            listed = [*rules.CITY_RULES[:i], *swapped, *rules.CITY_RULES[i + 1 :]]
+            changed.append(rules.fold_city_rules("city", "state", listed).alias(f"r{i}_{len(swapped)}"))
+    rows = {r["n"]: r for r in df.select("n", *changed).collect()}
+    for i, (_, after) in enumerate(ONE_EACH):
+        for n in (0, 1):
+            assert tuple(rows[i][f"r{i}_{n}"]) != after, (i, n)
+
+
+def updated(pairs):
+    """The literal updates of the SQL oracle, in another engine."""
+    listed = ", ".join(f"({i}, {quoted(c)}, {quoted(s)})" for i, (c, s) in enumerate(pairs))
+    steps = ", ".join(city_steps()).replace("seller_id", "n").split(", c_sellers AS")[0]
+    sql = f"WITH raw_sellers AS (SELECT * FROM (VALUES {listed}) AS v(n, seller_city, seller_state)), {steps}"
+    found = duckdb.sql(f"{sql} SELECT n, seller_city, seller_state FROM city_{len(UPDATES) - 1} ORDER BY n").fetchall()
+    return [tuple(r[1:]) for r in found]
 
 
-words = [m.text for r in rules.CITY_RULES for m in r.any_of]
+# Words to build cities from, as in the pairs above.
+words = sorted({city for (city, _), _ in CITIES + ONE_EACH if city} | {city for _, (city, _) in CITIES + ONE_EACH if city})
 cities = st.one_of(st.none(), st.builds(lambda a, w, b, up: (a + w + b).upper() if up else a + w + b,
                                        st.sampled_from(["", "x ", "s"]), st.sampled_from(words),
                                        st.sampled_from(["", " - sp", " "]), st.booleans()))
-states = st.sampled_from(sorted({m.state for r in rules.CITY_RULES for m in r.any_of if m.state}) + ["sp", "AM"])
+states = st.sampled_from(sorted({s for pair in CITIES + ONE_EACH for _, s in pair}) + ["sp", "AM", "rj "])
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(pairs=st.lists(st.tuples(cities, states), min_size=30, max_size=60))
 def test_fold_equals_the_updates_one_by_one(spark, pairs):
-    assert corrected(spark, pairs) == [reduce(one_update, rules.CITY_RULES, p) for p in pairs]
+    assert corrected(spark, pairs) == updated(pairs)

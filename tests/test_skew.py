@@ -1,6 +1,7 @@
 """One order, seller, city or text that holds a large part of all rows."""
 
 import contextlib
+import dataclasses
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,51 @@ def test_a_hot_order_is_reduced_before_it_is_joined(spark, hot):
     assert total == hot.items.count() * 10
 
 
+WIDE = 9000  # items of the hot order, no two of one product or seller
+
+
+@pytest.fixture(scope="module")
+def wide(spark, hot):
+    """Two items of three are in order o0, and differ in product and seller, so no total per order shrinks them."""
+    items = hot.raw.items.where(F.col("order_item_id") < WIDE).withColumns(
+        {"product_id": F.concat(F.lit("p"), "order_item_id"), "seller_id": F.concat(F.lit("s"), F.col("order_item_id") % 4000)}
+    )
+    ids = spark.range(WIDE)
+    sellers = ids.select(
+        F.concat(F.lit("s"), "id").alias("seller_id"), F.concat(F.lit("city "), F.col("id") % 3000).alias("seller_city"),
+        F.when(F.col("id") % 2 == 0, "SP").otherwise("sp ").alias("seller_state"),
+    )
+    products = ids.select(F.concat(F.lit("p"), "id").alias("product_id"), F.lit("telefonia").alias("product_category_name"))
+    raw = dataclasses.replace(hot.raw, items=items, sellers=sellers, products=products)
+    t = CleanTables(raw)
+    for name in ("payment_totals", "order_totals", "paid_items", "product_keys", "seller_keys"):
+        getattr(t, name)  # written before any plan is looked at
+    return t
+
+
+WIDE_JOBS = {
+    "revenue_per_seller": lambda t: revenue.revenue_per_seller(t, (2017,)),
+    "seller_revenue_allocated": revenue.seller_revenue_allocated,
+    "revenue_per_city": lambda t: revenue.revenue_per_city(t, (2017,)),
+    "revenue_per_state": lambda t: revenue.revenue_per_state(t, (2017,)),
+    "lucrative_gap_cities": lambda t: revenue.lucrative_gap_cities(t, 30),
+    "phased_out_products": lambda t: revenue.phased_out_products(t, (2016, 2018)),
+    "revenue_by_category": lambda t: revenue.revenue_by_category(t, (2017,)),
+    "product_view": lambda t: views.product_view(t, (2015, 2016, 2017)),
+    "product_lifecycle_corrected": lambda t: views.product_lifecycle_corrected(t, (2015, 2016, 2017)),
+    "seller_view_corrected": lambda t: views.seller_view_corrected(t, (2017,)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WIDE_JOBS))
+def test_a_hot_order_of_different_products_and_sellers_is_split(spark, wide, name):
+    plain = sorted(map(tuple, WIDE_JOBS[name](wide).collect()), key=repr)
+    with settings(spark, SKEW_CONF):
+        result, text = final_plan(WIDE_JOBS[name](wide))
+    assert "skew=true" in text
+    assert plain and sorted(map(tuple, result), key=repr) == plain
+
+
 def test_one_city_with_all_sellers(hot):
     (row,) = orders.orders_per_city(hot).collect()
     assert (row["seller_city"], row["total_orders"]) == ("são paulo", hot.items.count())
