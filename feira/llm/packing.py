@@ -6,6 +6,7 @@ import functools
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ class WordIds:
     """Token ids of texts, word by word, so that a word met before costs one look-up.
 
     Text is cut at ASCII blanks. A tokenizer that drops blanks, folds letters one by one and lets no token
-    span a blank gives the words' ids in a row; one that keeps blanks encodes whole texts instead. New words
-    are encoded together. Words are kept in two generations of bounded size: when the young one is full
+    span a blank gives the words' ids in a row; one that keeps blanks encodes whole texts instead. Where it
+    folds A-Z, words are looked up folded. New words are encoded together. Words are kept in two generations of bounded size: when the young one is full
     it becomes the old one, and only words met again stay.
     """
 
@@ -41,6 +42,7 @@ class WordIds:
         self.cached, self.size, self.young, self.old = cached, 0, {}, {}
         encoded = [self._whole(t) for t in ("one two", "one", "two")]
         self.by_words = encoded[0] == encoded[1] + encoded[2]
+        self.folds = self._whole(ascii_uppercase) == self._whole(ascii_lowercase)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,7 +80,8 @@ class WordIds:
             for text in texts:
                 yield np.frombuffer(self._whole(text or "") + end, "<u4")
             return
-        split = [(text or "").encode("utf-8", "surrogatepass").split() for text in texts]
+        whole = ((text or "").encode("utf-8", "surrogatepass") for text in texts)
+        split = [(text.lower() if self.folds else text).split() for text in whole]  # A-Z only, in bytes
         self._learn(set(chain.from_iterable(split)))
         for words in split:
             yield np.frombuffer(b"".join(map(self.young.__getitem__, words)) + end, "<u4")
