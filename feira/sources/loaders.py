@@ -61,6 +61,19 @@ def save(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
+def save_csv(df: DataFrame, path: str, header: bool = True) -> None:
+    """Write ``df`` as ``read_csv`` reads it: quoted where needed, blanks kept as they are."""
+    df.write.mode("overwrite").csv(
+        path, header=header, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
+def save_tables(raw: RawTables, folder: str) -> None:
+    """Write all source tables where ``load_tables`` finds them."""
+    for name in schema.TABLES:
+        save(getattr(raw, name), f"{folder}/{name}")
+
+
 def register_views(frames: Mapping[str, DataFrame]) -> None:
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
