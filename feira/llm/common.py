@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import string
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,6 +73,27 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), {step}), 4294967295)"
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose own columns begin with an underscore, made safe for callers' columns that do so, too.
+
+    Those go through it under other names and get theirs back.
+    """
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        taken, away = set(docs.columns), {}
+        for c in docs.columns:
+            if c.startswith("_"):
+                away[c] = next(n for n in (f"caller{i}{c}" for i in range(len(taken) + 1)) if n not in taken)
+                taken.add(away[c])
+        if not away:
+            return operator(docs, *args, **options)
+        out = operator(docs.withColumnsRenamed(away), *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run
+
+
 def same(left: list[Column], right: list[Column]) -> Column:
     """Equality by position that also pairs null with null."""
     test = left[0].eqNullSafe(right[0])
