@@ -20,7 +20,7 @@ MOST_REPEATS = 12
 GATHERED = 1 << 20  # characters of texts that are gone through together
 STRETCH = 1 << 15  # places that walk together, so that they stay in the processor's cache
 MOST_HITS = 1 << 22  # windows met in a stretch of text before it is halved
-MARKS = 1 << 22  # bits of the table that turns most places away
+MARKS = 20  # bits of a hash that choose its place in the table that turns most places away
 
 
 @dataclass(frozen=True)
@@ -35,14 +35,15 @@ class Shape:
 
 # A walk moves on by half a character a step. Long items have many windows, of which some are nearly whole
 # whatever the edits are; a short item is found by short windows only. Shorter items allow no edit.
-SHAPES = (Shape(96, 28, 8, 2), Shape(24, 14, 6, 1), Shape(10, 8, 4, 1))
+SHAPES = (Shape(96, 28, 12, 4), Shape(24, 14, 6, 1), Shape(10, 8, 4, 1))
 
 _RNG = np.random.Generator(np.random.PCG64(9))
-# For each step and character whether the walk moves on: the same for items and documents.
-MOVES = _RNG.integers(0, 2, (SHAPES[0].steps, 256)).astype(np.int32)
+# A random word for each character, the same for items and documents: what is hashed of it, and in the bit of
+# each step whether the walk moves on.
+WORDS = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
 # For each shape the steps whose characters each repeat hashes.
 SAMPLES = {s: [np.sort(_RNG.choice(s.steps, s.samples, replace=False)) for _ in range(MOST_REPEATS)] for s in SHAPES}
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR = np.uint32(0x9E3779B1)
 
 _FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FOLD_POINTS = {c: 32 if c <= 13 else c + 32 for c in [*range(9, 14), *range(65, 91)]}
@@ -63,49 +64,49 @@ def plain(text: str) -> str:
     return text.translate(_FOLD_POINTS)
 
 
-def embedded(codes: np.ndarray, first: int, last: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The CGK walks from the places ``first`` to ``last``, step by step: (characters met, places reached).
+def embedded(words: np.ndarray, first: int, last: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The CGK walks from the places ``first`` to ``last``, step by step: (words met, places reached).
 
     A walk repeats or leaves a character as a random bit for the step and the character says, so two walks
-    that an edit has set apart meet again. ``codes`` must go on for ``steps`` characters after the last place.
+    that an edit has set apart meet again. ``words`` must go on for ``steps`` characters after the last place.
     """
-    at = np.arange(first, last, dtype=np.int32)
+    at = np.arange(first, last)
     for step in range(steps):
-        met = codes.take(at)
-        at += MOVES[step].take(met)
+        met = words.take(at)
+        at += (met >> np.uint32(step)) & np.uint32(1)
         yield met, at
 
 
-def hashes(codes: np.ndarray, first: int, last: int, wanted: dict[Shape, int]) -> tuple[dict[Shape, list[np.ndarray]], dict[Shape, np.ndarray]]:
+def hashes(words: np.ndarray, first: int, last: int, wanted: dict[Shape, int]) -> tuple[dict[Shape, list[np.ndarray]], dict[Shape, np.ndarray]]:
     """For each shape the hashes of its repeats' sampled characters, and the places where its walks end."""
-    out = {s: [np.full(last - first, r + 1, np.uint64) for r in range(n)] for s, n in wanted.items()}
+    out = {s: [np.full(last - first, r + 1, np.uint32) for r in range(n)] for s, n in wanted.items()}
     users = {}
     for shape, repeats in wanted.items():
         for r in range(repeats):
             for step in SAMPLES[shape][r].tolist():
                 users.setdefault(step, []).append(out[shape][r])
     ends = {}
-    for step, (met, at) in enumerate(embedded(codes, first, last, max(s.steps for s in wanted))):
-        wide = met.astype(np.uint64) if step in users else None
+    for step, (met, at) in enumerate(embedded(words, first, last, max(s.steps for s in wanted))):
         for total in users.get(step, ()):
             total *= _FACTOR
-            total += wide
+            total += met
         for shape in wanted:
             if shape.steps == step + 1:
                 ends[shape] = at.copy()
     for totals in out.values():
         for total in totals:
-            total ^= total >> np.uint64(29)
+            total ^= total >> np.uint32(15)
             total *= _FACTOR
     return out, ends
 
 
-def _padded(codes: np.ndarray) -> np.ndarray:
-    return np.concatenate([codes, np.zeros(SHAPES[0].steps + 1, np.uint8)])
+def _words(codes: np.ndarray) -> np.ndarray:
+    """The characters' words, and some more for the walks that leave the text."""
+    return WORDS.take(np.concatenate([codes, np.zeros(SHAPES[0].steps + 1, np.uint8)]))
 
 
 def _slots(found: np.ndarray) -> np.ndarray:
-    return found >> np.uint64(64 - MARKS.bit_length() + 1)
+    return found >> np.uint32(32 - MARKS)
 
 
 def distance(item: list[int], region: list[int], most: int) -> tuple[int, int] | None:
@@ -144,17 +145,15 @@ class Table:
     offset: np.ndarray
 
     def hits(self, made: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(place, window) of the hashes that a window has in any repeat, each pair once."""
+        """(place, window) of the hashes that a window has, for each repeat."""
         places, windows = [], []
         for found, (known, window, marks) in zip(made, self.repeats, strict=True):
-            slot = _slots(found)
-            maybe = np.flatnonzero(marks[(slot >> np.uint64(3)).view(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+            maybe = np.flatnonzero(marks.take(_slots(found)))
             first = np.searchsorted(known, found[maybe], "left")
             count = np.searchsorted(known, found[maybe], "right") - first
             places.append(np.repeat(maybe, count))
             windows.append(window[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)])
-        pairs = np.unique(np.concatenate(places) * (len(self.owner) + 1) + np.concatenate(windows))
-        return pairs // (len(self.owner) + 1), pairs % (len(self.owner) + 1)
+        return np.concatenate(places), np.concatenate(windows)
 
 
 @dataclass(frozen=True)
@@ -164,7 +163,7 @@ class Block:
     ids: list[int]
     texts: list[str]  # as they are verified
     limits: list[int]
-    needed: np.ndarray  # windows that a match is expected to hit at least
+    needed: np.ndarray  # hits of its windows that a match is expected to show at least
     tables: list[Table]
     short: list[int]
     grams: list[np.ndarray]
@@ -182,7 +181,7 @@ def spoiled(codes: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
 def _table(shape: Shape, repeats: int, codes: list[np.ndarray], members: list[int]) -> Table:
     made, owner, offset = [[] for _ in range(repeats)], [], []
     for i in members:
-        found, ends = hashes(_padded(codes[i]), 0, len(codes[i]), {shape: repeats})
+        found, ends = hashes(_words(codes[i]), 0, len(codes[i]), {shape: repeats})
         # A window that leaves its item would depend on what follows it.
         starts = np.flatnonzero(ends[shape] <= len(codes[i]))[:: shape.stride]
         owner.append(np.full(len(starts), i))
@@ -193,21 +192,20 @@ def _table(shape: Shape, repeats: int, codes: list[np.ndarray], members: list[in
     for parts in made:
         values = np.concatenate(parts)
         order = np.argsort(values, kind="stable")
-        marks = np.zeros(MARKS // 8, np.uint8)
-        slot = _slots(values)
-        np.bitwise_or.at(marks, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
+        marks = np.zeros(1 << MARKS, bool)
+        marks[_slots(values)] = True
         known.append((values[order], order, marks))
     return Table(shape, known, np.concatenate(owner), np.concatenate(offset))
 
 
 def _measured(table: Table, codes: list[np.ndarray], limits: list[int], members: list[int], trials: int) -> dict[int, np.ndarray]:
-    """For each item how many of its windows are hit, in agreeing places, by copies at the limit of edits."""
+    """For each item how many hits its windows get, in agreeing places, from copies at the limit of edits."""
     rng, out = np.random.Generator(np.random.PCG64(5)), {}
     for i in members:
         most = []
         for _ in range(trials):
             copy = spoiled(codes[i], limits[i], rng)
-            found, _ = hashes(_padded(copy), 0, len(copy), {table.shape: len(table.repeats)})
+            found, _ = hashes(_words(copy), 0, len(copy), {table.shape: len(table.repeats)})
             at, window = table.hits(found[table.shape])
             begin = np.sort((at - table.offset[window])[table.owner[window] == i])
             reach = np.searchsorted(begin, begin + limits[i], "right") - np.arange(len(begin))
@@ -256,14 +254,14 @@ def _places(row: np.ndarray, ends: np.ndarray, block: Block) -> Iterator[tuple[i
     limits = np.array(block.limits)
     wanted = {t.shape: len(t.repeats) for t in block.tables}
     longest = max(len(block.texts[i]) + block.limits[i] for t in block.tables for i in set(t.owner.tolist()))
-    padded = _padded(row)
+    words = _words(row)
     work = [(base, min(base + GATHERED, len(row))) for base in range(0, len(row), GATHERED)]
     while work:
         low, high = work.pop()
         met: dict[Shape, list] = {t.shape: [] for t in block.tables}
         total, end = 0, min(high + longest, len(row))
         for first in range(low, end, STRETCH):
-            made, _ = hashes(padded, first, min(first + STRETCH, end), wanted)
+            made, _ = hashes(words, first, min(first + STRETCH, end), wanted)
             for table in block.tables:
                 at, window = table.hits(made[table.shape])
                 met[table.shape].append((at + first, window))
@@ -279,7 +277,8 @@ def _places(row: np.ndarray, ends: np.ndarray, block: Block) -> Iterator[tuple[i
                 continue
             text, owner, offset = np.searchsorted(ends, at, "right"), table.owner[window], table.offset[window]
             span = high - low + 4 * longest
-            key = (owner * (int(text[-1] - text[0]) + 1) + text - text[0]) * span + (at - offset - low + longest)
+            base = int(text.min())
+            key = (owner * (int(text.max()) - base + 1) + text - base) * span + (at - offset - low + longest)
             order = np.argsort(key, kind="stable")
             key, owner, text = key[order], owner[order], text[order]
             last = np.arange(len(key)) + block.needed[owner] - 1
