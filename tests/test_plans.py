@@ -49,6 +49,7 @@ TOTALS = {
     "fulfilment_durations", "distinct_item_orders", "review_sentiment_counts", "negative_review_share",
     "cancellation_stages", "cancellation_stage_share", "review_response_time", "total_revenue", "aov",
     "aov_per_order", "repeat_rate", "multi_year_rate", "top_seller_concentration", "cancelled_payment_mix",
+    "load_tables",
 }
 
 
