@@ -132,8 +132,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     * Null text counts as empty. Texts without words are alike (1.0) and unlike all others but by chance; a
       text of fewer than five words is one shingle.
-    * A null doc_id comes last. Rows of one doc_id are ordered by their text; a row repeated in doc_id and
-      text counts once. A single document follows itself; an empty table gives no rows.
+    * A null doc_id comes last. Rows of one doc_id are ordered by their text; rows equal in doc_id and text
+      are one document when the next is looked for, and each is a row of the result. A single document follows itself; an empty table gives no rows.
     * Other columns are not read.
 
     Only (id, text hash, length) rows are ranked to find each document's successor. The texts are shuffled
@@ -147,10 +147,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     names = docs.select("doc_id", "_hash", F.char_length("text").cast("long").alias("n"))
     names = names.groupBy("doc_id", "_hash").agg(F.max("n").alias("n"), F.count("*").alias("times"))
     names = write_and_read(names, "names")
-    if names.filter("times > 1").head(1):
+    repeated = bool(names.filter("times > 1").head(1))
+    if repeated:
         docs = docs.dropDuplicates(["doc_id", "_hash"])
     numbered = names.withColumns({"_null": F.col("doc_id").isNull(), "_all": F.lit(0)})
-    numbered = ranked(numbered, ["_all"], ["_null", "doc_id", "_hash"]).select("doc_id", "_hash", "n", "_rank")
+    numbered = ranked(numbered, ["_all"], ["_null", "doc_id", "_hash"]).select(
+        "doc_id", "_hash", "n", "times", "_rank"
+    )
     numbered = write_and_read(numbered, "numbered")
     count = numbered.count()
     # To each document goes the one before it, and how much of its start that one needs.
@@ -182,7 +185,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     made = write_and_read(made, "fingerprints")
     following = made.select((F.when(F.col("_rank") == 1, count).otherwise(F.col("_rank") - 1)).alias("_rank"), F.col("fingerprint").alias("_next"))
-    return made.join(following, "_rank").select(
+    both = made.join(following, "_rank")
+    if repeated:
+        both = both.join(numbered.select("_rank", "times"), "_rank")
+        both = both.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
