@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm.common import BLANKS, ascii_lower, prepare, same, sha256_hex, table, text_or_empty
+from feira.llm.common import BLANKS, ascii_lower, prepare, same, sha256_hex, shielded, table, text_or_empty
 from feira.session import write_and_read
 
 
@@ -19,6 +19,7 @@ def _digest(line: Column, min_chars: int) -> Column:
     return F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key.cast("binary"))))
 
 
+@shielded
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with ``text`` less its frequent lines, and ``n_lines`` (before), ``n_dropped``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm.common import n_words, prepare, ranked, table, text_or_empty
+from feira.llm.common import n_words, prepare, ranked, shielded, table, text_or_empty
 from feira.session import write_and_read
 
 WEIGHTS = (1, 2, 3)
@@ -77,6 +77,7 @@ def copies(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES) -
     return laid.select(*names, "source_size", "target", taken.alias("copies"))
 
 
+@shielded
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """``docs`` with ``size`` (words), ``source_size``, ``target`` and ``copies`` (times the mix takes the row).
 
