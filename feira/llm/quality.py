@@ -78,6 +78,10 @@ class Net:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.maximum(z @ w1 + b1, 0) @ w2 + b2
 
+    @property
+    def fitted(self) -> bool:
+        return any(w.any() for w in self.weights)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
 
@@ -163,13 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Net:
     """Fit on at most ``most_rows`` trusted positives (quality 1) and as many unlabelled documents.
 
     Both are chosen by a fixed shuffle of the ids, never from the held-out quarter; documents of the labels
-    table are never taken as unlabelled, and a label 0 is never used. Only their features, of fixed length,
-    reach the driver. Without positives or unlabelled documents every text scores alike, 0.5.
+    table are taken as unlabelled only where there are no others, and a label 0 is never used. Only their features, of fixed length,
+    reach the driver. Without positives or unlabelled documents every text scores alike, 0.5, and the net is not ``fitted``.
     """
     known = learnable(labels, "quality")
     trusted = sample(known.filter("label = 1").select("doc_id"), most_rows)
     ids = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    web = sample(ids.join(labels.select("doc_id").distinct(), "doc_id", "left_anti"), most_rows)
+    web = ids.join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    web = sample(web if web.head(1) else ids, most_rows)
     chosen = trusted.withColumn("pos", F.lit(True)).union(web.withColumn("pos", F.lit(False)))
     chosen = write_and_read(chosen, "quality-sample")
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
