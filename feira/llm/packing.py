@@ -20,7 +20,8 @@ from feira.session import write_and_read
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0  # the id that ends every document
-CACHED = 96 << 20  # bytes of one generation of known words
+CACHED = 160 << 20  # bytes of one generation of known words
+MARKS = ".,;:!?"  # ASCII marks that end words
 ENTRY = 160  # bytes that a known word takes besides its own and its ids'
 GROUPED = 1 << 20  # characters of texts whose new words are encoded together
 CONTENT = {"ids": "ids array<int>", "crc32": "ids_crc32 long"}
@@ -31,7 +32,8 @@ class WordIds:
 
     Text is cut at ASCII blanks. A tokenizer that drops blanks, folds letters one by one and lets no token
     span a blank gives the words' ids in a row; one that keeps blanks encodes whole texts instead. Where it
-    folds A-Z, words are looked up folded. New words are encoded together. Words are kept in two generations of bounded size: when the young one is full
+    folds A-Z, words are looked up folded; where marks at a word's end are tokens of their own, the word
+    without them is. New words are encoded together. Words are kept in two generations of bounded size: when the young one is full
     it becomes the old one, and only words met again stay.
     """
 
@@ -43,6 +45,7 @@ class WordIds:
         encoded = [self._whole(t) for t in ("one two", "one", "two")]
         self.by_words = encoded[0] == encoded[1] + encoded[2]
         self.folds = self._whole(ascii_uppercase) == self._whole(ascii_lowercase)
+        self.parts = self._whole(f"two{MARKS}") == encoded[2] + self._whole(MARKS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -50,14 +53,28 @@ class WordIds:
     def _learn(self, words: set[bytes]) -> None:
         if self.size > self.cached:
             self.old, self.young, self.size = self.young, {}, 0
-        new = []
+        new, marked = set(), []
         for word in words:
             if word not in self.young:
                 ids = self.old.get(word)
-                if ids is None:
-                    new.append(word)
-                else:
+                if ids is not None:
                     self._keep(word, ids)
+                    continue
+                stem = word.rstrip(MARKS.encode()) if self.parts else word
+                if stem and stem != word and stem[-1:].isalnum():
+                    marked.append((word, stem))
+                    stems = (stem, word[len(stem) :])
+                else:
+                    stems = (word,)
+                new.update(s for s in stems if s not in self.young and s not in self.old)
+        self._encode(sorted(new))
+        for word, stem in marked:
+            self._keep(word, self._known(stem) + self._known(word[len(stem) :]))
+
+    def _known(self, word: bytes) -> bytes:
+        return self.young.get(word) or self.old[word]
+
+    def _encode(self, new: list[bytes]) -> None:
         if not new:
             return
         texts = [w.decode("utf-8", "surrogatepass") for w in new]
