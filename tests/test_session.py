@@ -43,6 +43,35 @@ def test_a_cluster_is_not_given_a_local_folder():
     assert session.shared_folder(fake("yarn", "/mnt/all", {session.SHARED_MOUNT: "true"})) == "/mnt/all/feira-app-1"
 
 
+class Cluster:
+    """The test session under the name of a cluster; with ``lost`` what executors write is not there to be read."""
+
+    def __init__(self, spark, folder, lost=False):
+        real = spark.sparkContext
+        self.sparkContext = SimpleNamespace(
+            master="spark://host:7077", getCheckpointDir=lambda: None, applicationId=f"app-{folder.name}",
+            defaultParallelism=real.defaultParallelism,
+        )
+        self.conf = SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": f"file://{folder}"}.get(key) or default)
+        self.tries, self.read, self.spark, self.lost = 0, spark.read, spark, lost
+
+    def range(self, *args):
+        self.tries += 1
+        return self.spark.range(*args).where("id % 3 = 0") if self.lost else self.spark.range(*args)
+
+
+def test_a_cluster_uses_a_local_folder_that_is_one_mount_for_all(spark, tmp_path):
+    cluster = Cluster(spark, tmp_path)
+    for _ in range(3):
+        assert session.shared_folder(cluster) == f"file://{tmp_path}/feira-app-{tmp_path.name}"
+    assert cluster.tries == 1
+
+
+def test_a_cluster_is_not_given_a_local_folder_where_rows_get_lost(spark, tmp_path):
+    with pytest.raises(ValueError):
+        session.shared_folder(Cluster(spark, tmp_path, lost=True))
+
+
 def test_several_processes_on_one_machine_need_a_folder_named():
     with pytest.raises(ValueError):
         session.shared_folder(fake("local-cluster[2,1,1024]"))
