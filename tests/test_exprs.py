@@ -86,3 +86,11 @@ def test_weekday_names(spark):
 def test_labels_never_lose_digits(spark, number, label):
     df = spark.createDataFrame([(number,)], "rn bigint")
     assert df.select(surrogate_label("A")).first()[0] == label
+
+
+def test_spellings_are_merged_by_hash_before_their_least_is_found_by_sorting(spark):
+    df = spark.createDataFrame([("a ", "x"), ("A", "X"), ("a ", "x"), (None, "x"), (None, "X ")], "a string, b string")
+    grouped = X.group_folded(df, ["a", "b"])
+    assert sorted(map(tuple, grouped.collect()), key=repr) == [("A", "X"), (None, "X ")]
+    plan = grouped._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") == 2 and plan.rindex("HashAggregate") > plan.rindex("SortAggregate")
