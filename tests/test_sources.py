@@ -89,3 +89,9 @@ def test_csv_without_line_breaks_in_values_is_split(spark, tmp_path):
 
 def test_only_tables_with_texts_are_read_whole():
     assert set(loaders.MULTI_LINE) <= set(schema.TABLES)
+
+
+def test_variants_of_parts_are_made_by_several_tasks(spark, folder):
+    """Though the file is one row group."""
+    tasks = sample.products(spark, folder).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
