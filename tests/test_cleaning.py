@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -7,6 +8,7 @@ from feira.operators import conform
 from feira.plans import cleaning, orders, revenue
 from feira.tables import save_clean
 from tests.frames import item, marketplace, order, payment, review, rows
+from tests.test_skew import SKEW_CONF, settings
 
 
 def test_only_all_null_rows_go(spark):
@@ -60,6 +62,18 @@ def test_translation_yields_one_row_per_review(spark):
     ]
 
 
+def test_reviews_without_text_do_not_all_meet_in_one_task(spark):
+    reviews = spark.range(2000).select(
+        F.col("id").cast("string").alias("review_id"), F.lit("o").alias("order_id"),
+        F.when(F.col("id") == 7, "Oi ").alias("review_comment_message"),
+    )
+    lookup = spark.createDataFrame([("oi", "hi"), (None, "nothing")], "column1 string, column2 string")
+    with settings(spark, SKEW_CONF):
+        found = cleaning.translated(reviews, lookup).withColumn("task", F.spark_partition_id()).collect()
+    assert [(r.review_id, r.review_english) for r in found if r.review_english] == [("7", "hi")] and len(found) == 2000
+    assert max(Counter(r.task for r in found).values()) < 200
+
+
 def test_payments_are_recoded_and_rounded(spark):
     t = marketplace(spark, payments=[payment("o", 9.995, kind="boleto")])
     got = t.payments.first()
