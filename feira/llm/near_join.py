@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm.common import prepare, table
+from feira.llm.common import prepare, ranked, table
 from feira.llm.components import components, extended
 from feira.session import write_and_read
 
@@ -18,6 +19,8 @@ RECALL = 0.999
 ROWS = 8
 BITS = 1024  # bits that a text's shingles set, to rule pairs out
 PIVOTS = 2  # more texts of a bucket's largest class that the others are compared with before all are
+BLOCK = 128  # texts of a class that are compared with as many others at once
+COLUMNS = 4096  # shingles that are counted at once
 CACHED = 32 << 20  # bytes of texts and shingle sets that a verifying task keeps
 
 
@@ -68,6 +71,36 @@ def _verifier(shingle_words: int):
     return verify
 
 
+def _linker(threshold: float, shingle_words: int):
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        """(node, n_links, linked, similarity) of the texts of one block or of two, which have a side each."""
+        from feira.llm.shingles import shingles, words
+
+        sets = [shingles(words(text), shingle_words) for text in rows.text]
+        sizes = np.array([len(s) for s in sets])
+        _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[place] > 1  # a shingle of one text only is common to none
+        number = (np.cumsum(times > 1) - 1)[place[shared]]
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], np.repeat(np.arange(len(sets)), sizes)[shared][order]
+        common = np.zeros((len(sets), len(sets)))
+        for at in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+            low, high = np.searchsorted(number, [at, at + COLUMNS])
+            has = np.zeros((len(sets), COLUMNS), np.float32)
+            has[owner[low:high], number[low:high] - at] = 1
+            common += has @ has.T
+        similarity = common / np.maximum(sizes[:, None] + sizes - common, 1)
+        side, node = rows.side.to_numpy(), rows.node.to_numpy()
+        others = side[:, None] != side if side.any() else ~np.eye(len(sets), dtype=bool)
+        similarity[~(others & (similarity >= threshold))] = -1
+        best = similarity.max(axis=1)
+        linked = np.where(similarity == best[:, None], node, np.iinfo(np.int64).max).min(axis=1)
+        out = pd.DataFrame({"node": node, "n_links": (similarity >= 0).sum(axis=1), "linked": linked, "similarity": best})
+        return out[out.n_links > 0]
+
+    return links
+
+
 def possible(threshold: float, left: str = "", right: str = "other_") -> Column:
     """Whether two shingle sets can reach the similarity, from their sizes and the bits that they set; never wrongly false.
 
@@ -198,16 +231,40 @@ class NearJoin:
         return write_and_read(found.filter(F.col("similarity") >= self.threshold), "verified")
 
     def nodes(self) -> DataFrame:
-        """(text_digest, node, class, linked, similarity): each text with the most similar one that it was verified with."""
-        ends = self.links.select("similarity", F.col("a").alias("node"), F.col("b").alias("linked"))
-        ends = ends.union(self.links.select("similarity", "b", "a"))
-        best = ends.groupBy("node").agg(F.max(F.struct("similarity", (-F.col("linked")).alias("rank"))).alias("best"))
-        best = best.select("node", (-F.col("best.rank")).alias("linked"), "best.similarity")
-        nodes = self.texts.join(best, "node", "left").join(self.classes, "node", "left")
-        return write_and_read(
-            nodes.select("text_digest", "node", F.coalesce("component", "node").alias("class"), "linked", "similarity"),
-            "text-classes",
+        """(text_digest, node, class): the class of each text."""
+        nodes = self.texts.join(self.classes, "node", "left")
+        return write_and_read(nodes.select("text_digest", "node", F.coalesce("component", "node").alias("class")), "text-classes")
+
+    def linked(self) -> DataFrame:
+        """(node, n_links, linked, similarity): how many other texts a text is linked to, and the most similar of them.
+
+        Linked texts are in one class, so all pairs of a class are compared, whether verified before or not. They are
+        so in blocks of texts that follow one another by the size of their sets: a task holds two blocks at a time, and
+        blocks whose sizes are too far apart don't meet. A class of n texts moves up to n * n / BLOCK rows.
+        """
+        texts = self.signed.select(F.col("row").alias("node"), "count", F.col("doc.text").alias("text"))
+        sizes = ranked(self.classes.join(texts.select("node", "count"), "node"), ["component"], ["count", "node"])
+        sizes = sizes.withColumn("block", F.expr(f"(_rank - 1) div {BLOCK}"))
+        placed = write_and_read(sizes.select("component", "block", "node", "count"), "blocks")
+        blocks = placed.groupBy("component", "block").agg(F.min("count").alias("least"), F.max("count").alias("most"))
+        blocks = write_and_read(blocks, "block-sizes")
+        larger = blocks.select("component", F.col("block").alias("other"), F.col("least").alias("other_least"))
+        near = (F.col("other") >= F.col("block")) & (F.col("most") >= F.col("other_least") * self.threshold - 1e-6)
+        met = blocks.join(larger, "component").filter(near).select("component", "block", "other")
+        sides = F.array(
+            F.struct(F.lit(0).alias("side"), F.col("block").alias("own")),
+            F.struct(F.lit(1).alias("side"), F.col("other").alias("own")),
+        )
+        sides = F.when(F.col("block") == F.col("other"), F.slice(sides, 1, 1)).otherwise(sides)
+        met = met.select("*", F.inline(sides)).select("component", F.col("block").alias("first"), F.col("other").alias("second"), "side", F.col("own").alias("block"))
+        wanted = placed.join(met, ["component", "block"]).select("component", "first", "second", "side", "node")
+        rows = write_and_read(wanted, "blocks-met").join(texts.select("node", "text"), "node")
+        found = rows.groupBy("component", "first", "second").applyInPandas(
+            _linker(self.threshold, self.shingle_words), "node long, n_links long, linked long, similarity double"
         )
+        best = F.max(F.struct("similarity", (-F.col("linked")).alias("rank"))).alias("best")
+        found = found.groupBy("node").agg(F.sum("n_links").alias("n_links"), best)
+        return write_and_read(found.select("node", "n_links", (-F.col("best.rank")).alias("linked"), "best.similarity"), "linked")
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -215,12 +272,12 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, class_id, linked_id, similarity, n_copies, is_first) for every row of ``docs``.
+    """(doc_id, class_id, n_links, linked_id, similarity, n_copies, is_first) for every row of ``docs``.
 
     Two texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more;
     rows joined by equal words or by links, directly or through others, are one class. ``class_id`` is the
-    least doc_id of the class (null where it has none). ``linked_id`` is the least doc_id of a different text
-    that the row's text is linked to, the most similar of those it was verified with, and ``similarity``
+    least doc_id of the class (null where it has none). ``n_links`` counts the different texts that the row's text is
+    linked to. ``linked_id`` is the least doc_id of the most similar of them, and ``similarity``
     theirs; both are null for a text without links. ``n_copies`` counts the other rows with the same words,
     and ``is_first`` marks one row of each class: that with the least id, then text. Words are runs without
     blanks, A-Z lower-cased.
@@ -230,13 +287,12 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     * Rows with a null id come after all others in their class. Repeated rows are copies, one is first.
     * An empty table gives no rows. Columns other than doc_id and text are not read.
 
-    Equal texts are collapsed first, so copies are never paired. A link may go unverified only where it would
-    join what other links have joined already: links are not counted, as a group of n near copies has up to
-    n * n / 2 of them, but no class is ever split, whatever the size of a bucket. A pair of 0.8 shares a
-    bucket with a probability of 0.999, a more similar one nearly always.
+    Equal texts are collapsed first, so copies are never paired. Classes are found first: there a pair whose texts
+    other links have joined already is passed over. Then all pairs within a class are compared, so no link between
+    texts of a class is left out. A pair of 0.8 shares a bucket with a probability of 0.999, a more similar one nearly always.
     """
     join = NearJoin(docs.select("doc_id", "text"), **options)
-    nodes = join.nodes()
+    nodes, linked = join.nodes(), join.linked()
     rows = join.signed.select("digest", "row", F.col("doc.doc_id").alias("doc_id"))
     rows = write_and_read(rows.join(nodes, rows["digest"] == nodes["text_digest"]), "classed-rows")
     first = rows.groupBy("class").agg(_first().alias("first"))
@@ -246,10 +302,11 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     own = ids.select(F.col("text_node").alias("node"), "n_copies")
     other = ids.select(F.col("text_node").alias("linked"), F.col("text_id").alias("linked_id"))
     # What is looked up for a text is looked up once for all its rows.
-    texts = nodes.join(own, "node").join(other, "linked", "left").join(first, "class")
-    texts = write_and_read(texts.select("node", "class_id", "linked_id", "similarity", "n_copies", "first"), "text-results")
+    texts = nodes.join(own, "node").join(linked, "node", "left").join(other, "linked", "left").join(first, "class")
+    n_links = F.coalesce("n_links", F.lit(0)).alias("n_links")
+    texts = write_and_read(texts.select("node", "class_id", n_links, "linked_id", "similarity", "n_copies", "first"), "text-results")
     out = rows.select("node", "row", "doc_id").join(texts, "node")
-    return out.select("doc_id", "class_id", "linked_id", "similarity", "n_copies", (F.col("row") == F.col("first")).alias("is_first"))
+    return out.select("doc_id", "class_id", "n_links", "linked_id", "similarity", "n_copies", (F.col("row") == F.col("first")).alias("is_first"))
 
 
 def _first() -> Column:
@@ -270,4 +327,4 @@ def one_per_class(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", "class_id", "linked_id", "similarity", "n_copies")
+    return near_duplicates(docs).select("doc_id", "class_id", "n_links", "linked_id", "similarity", "n_copies")

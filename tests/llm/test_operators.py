@@ -502,6 +502,23 @@ def test_segmentation_takes_the_likeliest_split():
 # -- classifiers ---------------------------------------------------------------------------------------
 
 
+def test_no_link_between_different_texts_is_left_out(spark, monkeypatch):
+    """Within a class, too, and across its blocks."""
+    monkeypatch.setattr(near_join, "BLOCK", 8)
+    texts = near_copies(40, 40, 150, 6) + [prose(60 + i, 80) for i in range(5)]
+    rows = list(enumerate(texts)) + [(100, texts[0]), (101, texts[44])]
+    sets = {i: grams(t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in near_join.near_duplicates(docs).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        likeness = {j: jaccard(sets[i], sets[j]) for j, u in rows[:45] if u != t}
+        linked = [x for x in likeness.values() if x >= 0.8]
+        assert got[i].n_links == len(linked)
+        assert got[i].similarity == (pytest.approx(max(linked)) if linked else None)
+        assert not linked or likeness[got[i].linked_id] == pytest.approx(max(linked))
+
+
 @pytest.mark.parametrize("operator", [quality, toxicity])
 def test_classifiers_bear_odd_rows(docs, labels, operator):
     out = operator.classify(docs, labels).collect()
