@@ -172,22 +172,42 @@ def _begins(raw: bytes) -> list[int]:
     if (at := raw.find(GZIP)) >= 0:
         begins.append(at)
     for m in PACKED.finditer(raw):
-        if m.start() not in begins and _output(raw[m.start() : m.start() + 4096]):
+        # A block of bz2 or xz gives nothing before it is whole.
+        if m.start() not in begins and (_output(raw[m.start() : m.start() + 4096]) or _output(raw[m.start() :])):
             begins.append(m.start())
-    return begins or ([0] if _deflated(raw) else [])
+    return begins if 0 in begins or not _deflated(raw) else [0, *begins]
 
 
 def _output(raw: bytes) -> bytes:
     """The first bytes that come out, none where the data are broken."""
+    return next(_outputs(raw), b"")
+
+
+def _outputs(raw: bytes) -> Iterator[bytes]:
+    """What comes out of the first member, bit by bit, up to where it ends or is broken."""
+    engine, feed = _engine(raw), raw
     try:
-        return _engine(raw).decompress(raw, 1 << 16)
+        while not engine.eof:
+            out = engine.decompress(feed, 1 << 16)
+            feed = b""
+            if out:
+                yield out
+            elif engine.needs_input:
+                return
     except BROKEN:
-        return b""
+        return
 
 
 def _deflated(raw: bytes) -> bool:
-    """Deflate data without a header tell nothing of themselves: they count if what comes out is of interest."""
-    return not _compressed(raw) and _promising(_output(raw[: 1 << 16]).decode("latin-1"))
+    """Deflate data without a header tell nothing of themselves: they count if anything that comes out is of interest."""
+    if _compressed(raw):
+        return False
+    held = b""
+    for out in _outputs(raw):
+        held = held[-OVERLAP:] + out
+        if _promising(held.decode("latin-1")):
+            return True
+    return False
 
 
 def _cut(held: bytes) -> int:

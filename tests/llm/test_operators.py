@@ -408,6 +408,16 @@ def test_an_encoded_run_is_found_wherever_it_lies_in_a_large_layer(monkeypatch,
         assert any(kind == "assign" for kind, _, _ in secrets.scan(f"x {code} y")[1])
 
 
+def test_data_that_open_late_or_are_of_interest_late_are_opened():
+    """A bz2 block gives nothing before its end, and deflate data without a header may begin with what is of no interest."""
+    noise = base64.b64encode(random.Random(4).randbytes(30_000))
+    late = b"a b c d e f g h " * 8_000 + SECRET
+    bare = zlib.compressobj(wbits=-15)
+    packed = [bz2.compress(noise + b" " + SECRET), b"some bytes before" + bz2.compress(noise + b" " + SECRET), bare.compress(late) + bare.flush()]
+    for raw in packed:
+        assert any(kind == "assign" for kind, _, _ in secrets.scan(f"x {base64.b64encode(raw).decode()} y")[1])
+
+
 def spans_by_brute_force(text):
     """Base spans, and whether any chain of decodings of any run leads to a secret, tried without a worklist's shortcuts."""
 
