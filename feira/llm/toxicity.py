@@ -95,19 +95,25 @@ def train(bags: list[np.ndarray], toxic: np.ndarray, share: float, seed: int = 3
     """
     rng = np.random.default_rng(seed)
     sizes = np.array([len(b) + PADDING for b in bags], np.float32)
-    counted = [(u, c.astype(np.int32)) for u, c in (np.unique(b, return_counts=True) for b in bags)]
-    seen = np.bincount(np.concatenate([u for u, _ in counted]), minlength=BUCKETS)
+    # Counted twice instead of kept: all bags at once are much larger than what is learnt from them.
+    seen = np.zeros(BUCKETS, np.int64)
+    for b in bags:
+        seen[np.unique(b)] += 1
     active = np.flatnonzero(seen >= min(LEAST_BAGS, max(1, len(bags) // 50)))
     place = np.full(BUCKETS, -1, np.int32)
     place[active] = np.arange(len(active), dtype=np.int32)
-    rows = [(place[u][place[u] >= 0], (c[place[u] >= 0] / n).astype(np.float32)) for (u, c), n in zip(counted, sizes, strict=True)]
-    del counted
+    rows = []
+    for b, n in zip(bags, sizes, strict=True):
+        u, c = np.unique(b, return_counts=True)
+        known = place[u] >= 0
+        rows.append((place[u[known]], (c[known].astype(np.int32) / n).astype(np.float32)))
     # N-grams that are everywhere get small steps, rare ones large steps.
     usual = np.zeros(len(active), np.float32)
     for index, value in rows:
         usual[index] += value / len(rows)
     scale = 1 / np.sqrt(usual + 1e-6)
-    rows = [(index, value * scale[index]) for index, value in rows]
+    for index, value in rows:
+        value *= scale[index]
     order = rng.permutation(len(rows))
     kept_back, learnt = order[: len(order) // 5], order[len(order) // 5 :]
     params = [
@@ -115,38 +121,43 @@ def train(bags: list[np.ndarray], toxic: np.ndarray, share: float, seed: int = 3
         rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32),
         np.zeros(2, np.float32),
     ]
-    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    m, v = [np.zeros_like(p) for p in params], [np.float32(0) for _ in params]
 
-    def forward(chosen):
+    def means(chosen):
         index = np.concatenate([rows[i][0] for i in chosen])
         value = np.concatenate([rows[i][1] for i in chosen])
         owner = np.repeat(np.arange(len(chosen)), [len(rows[i][0]) for i in chosen])
-        part = params[0][index] * value[:, None]
-        mean = np.stack([np.bincount(owner, part[:, j], len(chosen)) for j in range(DIMENSION)], 1)
+        mean = np.stack([np.bincount(owner, params[0][index, j] * value, len(chosen)) for j in range(DIMENSION)], 1)
+        return index, value, owner, mean
+
+    def shares(mean):
         z = mean @ params[1] + params[2]
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        return index, value, owner, mean, p / p.sum(axis=1, keepdims=True)
+        return p / p.sum(axis=1, keepdims=True)
 
     best, best_loss, best_step = [p.copy() for p in params], np.inf, 0
     for step in range(1, STEPS + 1):
         chosen = rng.choice(learnt, min(128, len(learnt)), replace=False)
-        index, value, owner, mean, p = forward(chosen)
+        index, value, owner, mean = means(chosen)
+        p = shares(mean)
         p[np.arange(len(chosen)), toxic[chosen]] -= 1
         p /= len(chosen)
-        back = (p @ params[1].T)[owner] * value[:, None]
-        grads = [
-            np.stack([np.bincount(index, back[:, j], len(active)) for j in range(DIMENSION)], 1) + DECAY * params[0],
-            mean.T @ p,
-            p.sum(axis=0),
-        ]
+        back = p @ params[1].T
+        vectors = np.empty((len(active), DIMENSION))
+        for j in range(DIMENSION):
+            vectors[:, j] = np.bincount(index, back[owner, j] * value, len(active)) + DECAY * params[0][:, j]
+        grads = [vectors, mean.T @ p, p.sum(axis=0)]
         rate = RATE * (1 - 0.9 * step / STEPS)
         for i, g in enumerate(grads):
             # One step size for all n-grams: a step size of its own for each would learn rare ones by heart.
             m[i] += 0.1 * (g.astype(np.float32) - m[i])
-            v[i] += 0.01 * (np.float32((g * g).mean()) - v[i])
-            params[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-9)
+            v[i] += np.float32(0.01) * (np.float32(np.square(g, out=g).mean()) - v[i])
+            params[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / np.float32(1 - 0.99**step)) + np.float32(1e-9))
         if step % 20 == 0 or step == STEPS:
-            q = forward(kept_back)[-1] if len(kept_back) else np.full((1, 2), 0.5)
+            del index, value, owner, vectors, grads, g
+            # As many at a time as are learnt from: their vectors take much more room than their means.
+            parts = [means(kept_back[i : i + 128])[-1] for i in range(0, len(kept_back), 128)]
+            q = shares(np.concatenate(parts)) if parts else np.full((1, 2), 0.5)
             truth = toxic[kept_back] if len(kept_back) else np.zeros(1, int)
             loss = -np.log(q[np.arange(len(truth)), truth] + 1e-9).mean()
             if loss < best_loss:

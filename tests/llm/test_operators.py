@@ -8,10 +8,12 @@ import json
 import lzma
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pytest
 
 from feira.llm import decontaminate, fingerprints, line_dedup, mixing, near_join, quality, secrets, tool_calls, toxicity, url_filter
@@ -512,6 +514,17 @@ def test_segmentation_takes_the_likeliest_split():
 # -- classifiers ---------------------------------------------------------------------------------------
 
 
+def test_fitting_toxicity_takes_a_few_times_the_memory_of_its_input(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 20)
+    rng = np.random.default_rng(1)
+    bags = [np.sort(rng.choice(4000, 2000, replace=False)).astype(np.int32) for _ in range(1200)]
+    tracemalloc.start()
+    toxicity.train(bags, np.arange(1200) % 2, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * sum(b.nbytes for b in bags)
+
+
 def test_no_link_between_different_texts_is_left_out(spark, monkeypatch):
     """Within a class, too, and across its blocks."""
     monkeypatch.setattr(near_join, "BLOCK", 8)
