@@ -72,6 +72,26 @@ def test_a_cluster_is_not_given_a_local_folder_where_rows_get_lost(spark, tmp_pa
         session.shared_folder(Cluster(spark, tmp_path, lost=True))
 
 
+def test_a_cluster_without_a_folder_named_uses_the_warehouse(spark, tmp_path):
+    more = {"spark.sql.warehouse.dir": "hdfs:///warehouse"}
+    assert session.shared_folder(fake("yarn", more=more)) == "hdfs:///warehouse/feira-app-1"
+    more = {"spark.sql.warehouse.dir": "file:/tmp/warehouse"}
+    assert session.shared_folder(fake("local-cluster[3,4,10240]", more=more)) == "file:/tmp/warehouse/feira-app-1"
+    cluster = Cluster(spark, tmp_path)
+    cluster.conf = SimpleNamespace(get=lambda key, default: {"spark.sql.warehouse.dir": f"file://{tmp_path}"}.get(key) or default)
+    assert session.shared_folder(cluster) == f"file://{tmp_path}/feira-app-{tmp_path.name}"
+
+
+def test_a_cluster_uses_the_warehouse_where_the_folder_named_is_not_shared(spark, tmp_path):
+    (tmp_path / "plain").touch()  # nothing can be written below a file
+    named = {"spark.checkpoint.dir": f"file://{tmp_path}/plain", "spark.sql.warehouse.dir": f"file://{tmp_path}/all"}
+    cluster = Cluster(spark, tmp_path)
+    cluster.conf = SimpleNamespace(get=lambda key, default: named.get(key) or default)
+    for _ in range(3):
+        assert session.shared_folder(cluster) == f"file://{tmp_path}/all/feira-app-{tmp_path.name}"
+    assert cluster.tries == 2
+
+
 def test_several_processes_on_one_machine_need_a_folder_named():
     with pytest.raises(ValueError):
         session.shared_folder(fake("local-cluster[2,1,1024]"))
