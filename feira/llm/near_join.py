@@ -145,15 +145,20 @@ class NearJoin:
     def _members(self) -> DataFrame:
         """(bucket, node, leader) for the buckets with two texts at least.
 
-        The leader is the text that comes first by a hash of its number alone, so texts that share many
-        buckets share one leader, and a group of n near copies has about n different pairs with leaders.
+        Buckets are first looked at by row, with a mark of its text, so that no row's bands are moved as a whole, and only
+        rows that share a bucket with another text get their node. Two texts have one mark with a chance of 2 ** -64.
+
+        The leader is the text with the least mark, so texts that share many buckets share one leader, and a
+        group of n near copies has about n different pairs with leaders.
         """
-        own = self.texts.join(self.signed.select(F.col("row").alias("node"), "bands"), "node")
-        members = write_and_read(own.select("node", F.explode("bands").alias("bucket")), "members")
-        lead = F.min(F.struct(F.xxhash64("node"), "node"))["node"]
-        leaders = members.groupBy("bucket").agg(F.count("*").alias("size"), lead.alias("leader")).filter("size > 1")
-        leaders = write_and_read(leaders.drop("size"), "leaders")
-        return write_and_read(members.join(leaders, "bucket"), "bucketed")
+        bucket = F.explode("bands").alias("bucket")
+        marks = self.signed.select(F.xxhash64("digest").alias("mark"), bucket)
+        marks = marks.groupBy("bucket").agg(F.min("mark").alias("mark"), F.max("mark").alias("most")).filter("mark <> most")
+        marked = self.texts.select(F.xxhash64("text_digest").alias("mark"), F.col("node").alias("leader"))
+        leaders = write_and_read(marks.join(marked, "mark").select("bucket", "leader"), "leaders")
+        rows = write_and_read(self.signed.select("row", bucket).join(leaders, "bucket"), "bucketed-rows")
+        named = self.signed.select("row", F.col("digest").alias("text_digest")).join(self.texts, "text_digest").select("row", "node")
+        return write_and_read(rows.join(named, "row").select("bucket", "node", "leader").distinct(), "bucketed")
 
     def _join(self) -> tuple[DataFrame, DataFrame]:
         """Verified links, and the classes they make.
@@ -163,6 +168,7 @@ class NearJoin:
         what is then still apart with all that is apart from it.
         """
         members = self._members()
+        self.attributes = self._attributes(members)
         stars = _pairs(members.filter("node <> leader"), "node", "leader").distinct()
         links = self._verified(self._possible(stars))
         classes, apart = components(links), members.select("bucket", "node")
@@ -192,21 +198,23 @@ class NearJoin:
         pivots = write_and_read(apart.filter("component = main").groupBy("bucket").agg(pivot), "pivots")
         return _pairs(apart.filter("component <> main").join(pivots, "bucket"), "node", "pivot").distinct()
 
-    def _attributes(self) -> DataFrame:
-        return self.signed.select(F.col("row").alias("node"), "bits", "count")
+    def _attributes(self, members: DataFrame) -> DataFrame:
+        """(node, bits, count) of the texts that can be in a pair: read from all once, not again for each set of pairs."""
+        wanted = write_and_read(members.select("node").distinct(), "bucketed-texts")
+        known = self.signed.select(F.col("row").alias("node"), "bits", "count").join(wanted, "node", "left_semi")
+        return write_and_read(known, "attributes")
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that sizes and bits don't rule out."""
         pairs = write_and_read(pairs, "candidates")
-        attributes = self._attributes()
-        left = attributes.withColumnRenamed("node", "a")
-        right = attributes.select(F.col("node").alias("b"), F.col("bits").alias("other_bits"), F.col("count").alias("other_count"))
+        left = self.attributes.withColumnRenamed("node", "a")
+        right = self.attributes.select(F.col("node").alias("b"), F.col("bits").alias("other_bits"), F.col("count").alias("other_count"))
         both = pairs.join(left, "a").join(right, "b")
         return both.filter(possible(self.threshold)).select("a", "b")
 
     def _all_apart(self, apart: DataFrame) -> DataFrame:
         """All pairs of a bucket's texts that are in different classes, but for those that sizes and bits rule out."""
-        known = write_and_read(apart.join(self._attributes(), "node"), "apart-known")
+        known = write_and_read(apart.join(self.attributes, "node"), "apart-known")
         rest = known.filter("component <> main").select(
             "bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "bits", "count")]
         )

@@ -158,6 +158,26 @@ def test_sizes_and_bits_rule_out_no_similar_pair(spark):
     assert similar <= set(kept) and len(kept) < len(made) ** 2 / 2
 
 
+def test_only_rows_that_share_a_bucket_with_another_text_are_listed_by_bucket(spark, monkeypatch):
+    shared = " ".join(f"shared{j}" for j in range(60))
+    texts = [" ".join(f"own{i}x{j}" for j in range(60)) for i in range(40)] + [shared, shared, f"{shared} more"]
+    written, write = {}, near_join.write_and_read
+
+    def counted(df, name):
+        out = write(df, name)
+        written.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(near_join, "write_and_read", counted)
+    got = near_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {tuple(r) for r in got.filter("doc_id >= 40").select("doc_id", "class_id", "n_links", "linked_id", "n_copies").collect()} == {
+        (40, 40, 1, 42, 1), (41, 40, 1, 42, 1), (42, 40, 1, 40, 0)
+    }
+    assert got.filter("doc_id < 40 AND n_links = 0 AND class_id = doc_id").count() == 40
+    assert max(written.values()) <= 3 * near_join.band_count()  # not 38 rows a text
+    assert written["attributes"] == 2
+
+
 def test_the_join_keeps_columns_of_any_name(spark):
     names = ["doc", "row", "node", "bands", "bits", "digest", "signed", "class", "component", "bucket", "count", "_row", "_class"]
     rows = [(i, prose(i // 2, 40), *[f"{n}{i}" for n in names]) for i in range(6)]
