@@ -62,6 +62,12 @@ def test_translation_yields_one_row_per_review(spark):
     ]
 
 
+def test_texts_are_translated_without_ids_beside_them(spark):
+    texts = spark.createDataFrame([("BOM",), (None,)], "review_comment_message string")
+    lookup = spark.createDataFrame([("bom", "good")], "column1 string, column2 string")
+    assert rows(cleaning.translated(texts, lookup)) == [("BOM", "good"), (None, None)]
+
+
 def test_reviews_without_text_do_not_all_meet_in_one_task(spark):
     reviews = spark.range(2000).select(
         F.col("id").cast("string").alias("review_id"), F.lit("o").alias("order_id"),

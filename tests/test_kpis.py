@@ -216,6 +216,20 @@ def test_repeated_customer_key_is_found(spark):
     assert rows(customers.repeat_by_customer_key(t)) == [("C00001", 2017, 2)]
 
 
+def test_reviews_of_cancelled_orders_by_payment(spark):
+    t = marketplace(
+        spark,
+        orders=[order("o1", "canceled"), order("o2", "canceled"), order("o3"), order("o4", "canceled")],
+        payments=[payment("o1"), payment("o1", 1.0, 2), payment("o2"), payment("o3"), payment("o4", kind="boleto")],
+        reviews=[review("o1", 1, message="Bom "), review("o2", 1), review("o3", 1, message="bom"), review("o4", 1, message="bom")],
+        review_translation=[("bom", "good")],
+    )
+    got = revenue.cancelled_by_payment(t)
+    assert got.columns == ["payment_type", "order_status", "review_english"]
+    card = ("credit_card", "canceled")
+    assert rows(got) == [(*card, "good"), (*card, "good"), (*card, None)]
+
+
 def test_complaints_by_payment_type(spark):
     t = marketplace(
         spark,
