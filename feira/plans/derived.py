@@ -84,15 +84,22 @@ def categorized_reviews(t: CleanTables) -> DataFrame:
 
 
 def complaint_categories(t: CleanTables, status: str = "canceled") -> DataFrame:
-    """Reviews of cancelled orders that ask for a refund or an invoice, per payment type."""
+    """Reviews of cancelled orders that ask for a refund or an invoice, per payment type, each review counted once."""
     text = F.lower("review_english")
     flags = [text.rlike(p).alias(f"is_{name}") for name, p in COMPLAINTS.items()]
-    reviews = _cancelled(t, status).join(t.reviews.select("order_id", "review_comment_message"), "order_id")
+    reviews = _cancelled(t, status).join(t.reviews.select("review_id", "order_id", "review_comment_message"), "order_id")
     pays = t.payments.select("order_id", "payment_type").distinct()
     return (
         t.translate(reviews)
-        .select("order_id", *flags)
+        .select("review_id", "order_id", *flags)
         .join(pays, "order_id")
+        .groupBy("payment_type", "review_id")
+        .agg(*[F.max(f"is_{name}").alias(f"is_{name}") for name in COMPLAINTS])
         .groupBy("payment_type")
-        .agg(*[X.count_if(F.col(f"is_{name}")).alias(f"{name}_complaints") for name in COMPLAINTS])
+        .agg(
+            *[
+                X.count_if(F.col(f"is_{name}") & F.col("review_id").isNotNull()).alias(f"{name}_complaints")
+                for name in COMPLAINTS
+            ]
+        )
     )

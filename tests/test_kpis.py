@@ -243,6 +243,18 @@ def test_complaints_by_payment_type(spark):
     assert set(labels.values()) == {"refund"}
 
 
+def test_a_repeated_review_is_one_complaint(spark):
+    twice = review("o1", 1, message="a")
+    t = marketplace(
+        spark,
+        orders=[order("o1", "canceled"), order("o2", "canceled"), order("o2", "canceled")],
+        payments=[payment("o1"), payment("o2"), payment("o2", kind="debit_card")],
+        reviews=[twice, twice, review("o1", 1, "r2"), review("o2", 1, message="b")],
+        review_translation=[("a", "refund"), ("b", "invoice")],
+    )
+    assert rows(derived.complaint_categories(t)) == [("credit_card", 1, 1), ("debit_card", 0, 1)]
+
+
 def test_cancelled_payment_shares_may_overlap(spark):
     t = marketplace(
         spark,
