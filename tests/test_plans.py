@@ -149,3 +149,14 @@ def test_distinct_counts_do_not_expand_rows(spark, sample):
 def test_lifecycle_share_needs_no_labels(spark, sample):
     text = plan(derived.lifecycle_share(sample, (1996, 1997, 1998)))
     assert "product_id_values" not in text and "sellers_inolved" not in text and "score_sum" not in text
+
+
+PRODUCT_JOBS = ["lifecycle_share", "product_lifecycle_corrected"]
+
+
+@pytest.mark.parametrize("name", PRODUCT_JOBS)
+def test_products_are_never_broadcast(name, spark, folder):
+    """However few Spark takes them for: it does not count the rows that an explode makes."""
+    text = plan(entry.queries()[name](spark, folder))
+    joins = re.findall(r"(\w+Join) \[product_id#\d+\], \[product_id#\d+\], (?:Inner|LeftSemi)", text)
+    assert joins and set(joins) == {"SortMergeJoin"}
