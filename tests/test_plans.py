@@ -151,7 +151,10 @@ def test_lifecycle_share_needs_no_labels(spark, sample):
     assert "product_id_values" not in text and "sellers_inolved" not in text and "score_sum" not in text
 
 
-PRODUCT_JOBS = ["lifecycle_share", "product_lifecycle_corrected", "product_view", "revenue_by_category", "sql_product_view"]
+PRODUCT_JOBS = [
+    "audit_unmapped_products", "lifecycle_share", "product_lifecycle_corrected", "product_view", "revenue_by_category",
+    "sql_product_view",
+]
 
 
 @pytest.mark.parametrize("name", PRODUCT_JOBS)
